@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import chat, exact_dedup, url_filter
+from statloom.llm import bpe, chat, exact_dedup, packing, url_filter
 from statloom.llm.common import table
 
 
@@ -15,6 +15,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), listed)
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the registered queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,6 +37,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chat(chat.format_chat(rows.unionByName(added)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def _url_sql() -> str:
     ways = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
     fits = [f"((host = '{t[: t.index('/')]}' OR ends_with(host, '.{t[: t.index('/')]}')) AND starts_with(path, '{t[t.index('/') :]}'))" for _, t in ways]
@@ -63,7 +78,7 @@ FROM sized GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op5_exact_dedup, op7_chat_format)}
+    return {f.__name__: f for f in (op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
