@@ -42,7 +42,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         (F.row_number().over(same.orderBy(F.desc_nulls_last("w"), "salt")) == 1).alias("best"),
     )
     groups = merged.select("sha", "salt", "w", "ids")
-    joined = groups.join(verdict, (F.col("sha") == F.col("v_sha")) & (F.col("salt") == F.col("v_salt")) & F.col("w").eqNullSafe(F.col("v_w")))
+    # Null-safe keys: an inferred IS NOT NULL would differ between the two branches and keep Spark from reusing the text shuffle.
+    keys = F.col("sha").eqNullSafe(F.col("v_sha")) & F.col("salt").eqNullSafe(F.col("v_salt")) & F.col("w").eqNullSafe(F.col("v_w"))
+    joined = groups.join(verdict, keys)
     each = joined.select("sha", "keep_id", "group_size", "best", F.posexplode("ids").alias("pos", "row"))
     return each.select(
         F.col("row.id").alias("doc_id"),
