@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import bpe, chat, exact_dedup, packing, url_filter
+from statloom.llm import bpe, chat, exact_dedup, minhash, packing, url_filter
 from statloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chat(chat.format_chat(rows.unionByName(added)))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -78,7 +82,7 @@ FROM sized GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op9_packing)}
+    return {f.__name__: f for f in (op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
