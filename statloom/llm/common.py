@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark puts into one Arrow batch of texts (its default is 10,000); set on the session by `small_batches`.
+BATCH_ROWS = 1000
 #: Rows of an Arrow batch are handed on in slices of about this many bytes of text.
 SLICE_BYTES = 4_000_000
 
@@ -35,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS where it is larger, since texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text stays near SLICE_BYTES, so that long texts don't gather in Python."""
     texts = batch.column(column)
@@ -50,10 +59,10 @@ def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
 
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], text: int = 1) -> DataFrame:
     """mapInArrow where make() builds a worker-side function from a slice of rows to columns."""
-    out = pa.schema([])
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,8 @@ from statloom.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 500_000
+#: Representatives whose table keys are combined at once.
+COMBINED = 20_000
 _words: dict[bytes, int] = {}
 
 
@@ -210,13 +212,23 @@ def near_dedup(
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = shared_table(full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r")).select("h1", "h2", "r.*"), "classes")
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Batches gathered to about COMBINED rows, so that a frequent key is combined before the shuffle."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= COMBINED:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held)
+
     def bucketing(local: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), m * m)
-                halves = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, 2 * m)
+            for batch in joined(batches):
+                ids = np.repeat(batch.column(0).to_numpy(), m * m)
+                halves = np.frombuffer(b"".join(x for c in batch.column(1).chunks for x in c.to_pylist()), np.uint64).reshape(-1, 2 * m)
                 keys = table_keys(halves, m).ravel()
                 order = np.lexsort((ids, keys))
                 keys, ids = keys[order], ids[order]

@@ -17,7 +17,6 @@ rows; null ids are carried; further columns are ignored.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe
-from statloom.llm.common import shared_table, slices
+from statloom.llm.common import shared_table, slices, small_batches
 
 #: One batch of output rows.
 ROWS = 20_000
@@ -140,7 +139,7 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     with open(tokenizer, "rb") as f:
         raw = f.read()
-    json.loads(raw)
+    small_batches(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(raw)
     id_type = df.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

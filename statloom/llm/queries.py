@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import bpe, chat, exact_dedup, minhash, packing, url_filter
+from statloom.llm import bpe, chat, exact_dedup, lang_id, minhash, packing, url_filter
 from statloom.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.identify(docs, lang_id.learn(docs))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(x,) for x in url_filter.LISTED], "url string")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), listed)
@@ -82,7 +87,7 @@ FROM sized GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
