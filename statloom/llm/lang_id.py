@@ -14,11 +14,12 @@ further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import arrow_map
+from statloom.llm.common import arrow_map, small_batches
 
 WINDOW, STATE, PAD = 64, 8, 256
 EXCERPT = 2000
@@ -199,15 +200,11 @@ def identify(df: DataFrame, model: Labeller, id_col: str = "doc_id", text_col: s
 
 def confident_rows(df: DataFrame, model: Labeller, text_col: str = "text", least: float = 0.4) -> DataFrame:
     """The rows whose text gets a language with at least this score, with all their columns."""
-    import pandas as pd
-
-    from statloom.llm.common import small_batches
-
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict(texts.tolist())[1])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.predict(texts.to_pylist())[1], pa.float64())
 
     return df.where(score(F.col(text_col)) >= least)

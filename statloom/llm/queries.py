@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import bpe, chat, exact_dedup, lang_id, minhash, packing, url_filter
+from statloom.llm import bpe, chat, exact_dedup, lang_id, minhash, packing, quality, url_filter
 from statloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _url_sql() -> str:
     ways = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
     fits = [f"((host = '{t[: t.index('/')]}' OR ends_with(host, '.{t[: t.index('/')]}')) AND starts_with(path, '{t[t.index('/') :]}'))" for _, t in ways]
@@ -87,7 +91,7 @@ FROM sized GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
