@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import bpe, chat, exact_dedup, lang_id, minhash, packing, quality, url_filter
+from statloom.llm import ann, bpe, chat, exact_dedup, lang_id, minhash, packing, quality, url_filter
 from statloom.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), listed)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary that the registered queries use; the operators take any path."""
     import public_tokenizers
@@ -91,7 +96,7 @@ FROM sized GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_nearest_neighbours, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
