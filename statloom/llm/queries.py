@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import ann, bpe, chat, exact_dedup, lang_id, minhash, packing, quality, url_filter
+from statloom.llm import ann, bpe, chat, exact_dedup, html_text, lang_id, minhash, packing, quality, url_filter
 from statloom.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -96,7 +100,19 @@ FROM sized GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_nearest_neighbours, op4_bpe_round_trip, op5_exact_dedup, op7_chat_format, op8_minhash_near_dedup, op9_packing, op10_quality_classifier)}
+    every = (
+        op1_language_id,
+        op2_url_filter,
+        op3_nearest_neighbours,
+        op4_bpe_round_trip,
+        op5_exact_dedup,
+        op6_html_text,
+        op7_chat_format,
+        op8_minhash_near_dedup,
+        op9_packing,
+        op10_quality_classifier,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
