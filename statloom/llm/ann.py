@@ -68,25 +68,38 @@ class Codes:
 
 
 class Shard:
-    """Tables of one shard: for each substring the rows sorted by value."""
+    """Tables of one shard: for each substring the rows sorted by value, and all codes as 64-bit words."""
 
     def __init__(self, codes: Codes, vectors: np.ndarray):
-        self.codes, self.bits = codes, codes.encode(vectors)
+        self.codes = codes
+        bits = codes.encode(vectors)
+        self.words = pack(bits)
         self.tables = []
         for lo, hi in zip(codes.cuts, codes.cuts[1:], strict=False):
-            value = self.bits[:, lo:hi] @ (1 << np.arange(hi - lo))
+            value = bits[:, lo:hi] @ (1 << np.arange(hi - lo))
             self.tables.append((np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << (hi - lo)))])))
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within the radius of the query's bits: all of them, by the pigeonhole principle."""
-        found = []
+        hit = np.zeros(len(self.words), bool)
         for (order, starts), lo, hi in zip(self.tables, self.codes.cuts, self.codes.cuts[1:], strict=False):
             probes = int(query[lo:hi] @ (1 << np.arange(hi - lo))) ^ flips(int(hi - lo), radius // SUBSTRINGS)
-            first, last = starts[probes], starts[probes + 1]
-            hit = last > first
-            found += [order[a:b] for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)]
-        rows = np.unique(np.concatenate(found)) if found else np.empty(0, int)
-        return rows[(self.bits[rows] != query).sum(axis=1) <= radius]
+            first = starts[probes]
+            sizes = starts[probes + 1] - first
+            full = np.flatnonzero(sizes)
+            first, sizes = first[full], sizes[full]
+            ends = np.cumsum(sizes)
+            if len(ends):
+                hit[order[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)]] = True
+        rows = np.flatnonzero(hit)
+        return rows[np.bitwise_count(self.words[rows] ^ pack(query[None])[0]) <= radius]
+
+
+def pack(bits: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 bits as unsigned words."""
+    wide = np.zeros((len(bits), BITS), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return np.packbits(wide, axis=1).view(np.uint64).ravel()
 
 
 _flips: dict[tuple[int, int], np.ndarray] = {}
