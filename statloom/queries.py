@@ -337,7 +337,7 @@ def q28_interaction_three_way(spark, d):
     return _design(t, "~ 0 + o_orderstatus:o_orderpriority:o_totalprice", [f"{s}{i}" for s in "fop" for i in range(5)], 4)
 
 
-@query("SELECT event_id, round(value, 4) AS a, round(user_id, 4) AS b, round(value * user_id, 4) AS c FROM events")
+@query("SELECT event_id, round(value, 4) AS a, round(user_id::DOUBLE, 4) AS b, round(value * user_id, 4) AS c FROM events")
 def q28_distributed_sum(spark, d):
     return _design(events(spark, d), "~ 0 + (value + user_id) + (value):user_id", ["a", "b", "c"], 4)
 
