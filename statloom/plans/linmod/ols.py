@@ -174,11 +174,11 @@ def fit(formula: Formula, table: Table | None, settings: LinearConfig) -> Linear
         values = np.linalg.eigvalsh(scaled)
         if values[0] <= values[-1] / ILL_CONDITIONED:
             r = r_factor(table.df, [*z, yz])
-            rx = r[:, :q] / size
+            rx = r[:q, :q] / size
             sing = np.linalg.svd(rx, compute_uv=False)
             if len(sing) < q or sing[-1] <= sing[0] * max(n, q) * np.finfo(float).eps:
                 raise SingularMatrixError(_aliased(rx, [names[j] for j in free], 1e-10) or [names[free[-1]]])
-            gamma = np.linalg.lstsq(rx, r[:, q], rcond=None)[0] / size
+            gamma = np.linalg.lstsq(rx, r[:q, q], rcond=None)[0] / size
             inner = np.linalg.inv(rx)
             inverse = (inner @ inner.T) / np.outer(size, size)
         else:
