@@ -34,7 +34,7 @@ from statloom.llm.common import arrow_map, shared_table
 from statloom.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Representatives whose table keys are combined at once.
 COMBINED = 20_000
 _words: dict[bytes, int] = {}
@@ -69,7 +69,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         for k in range(min(width, len(h))):
             fold = mix(fold * ODD + h[k : k + n])
         out.append(np.unique(fold))
-        if len(known) > 4 * CACHE_WORDS:
+        if len(known) > 2 * CACHE_WORDS:
             known.clear()
     return out
 
