@@ -3,7 +3,8 @@
 1. Each text becomes its set of 64-bit shingle hashes, a 128-bit digest of that set, and two collections of m half
    keys, each half key folding `rows` minhashes. Table (i, j) is keyed by half key i of the first and j of the second
    collection: m * m tables from 2 * m * rows minhashes instead of 2 * m * m * rows. A pair of similarity s meets in
-   some table with probability (1 - (1 - s^rows)^m)^2; with rows=4 and m=10 that is 0.9988 at 0.85.
+   some table with probability (1 - (1 - s^rows)^m)^2; m is the smallest number that makes this FOUND at the threshold:
+   10 at 0.85 and 14 at 0.8 with rows=4.
 2. Equal sets are one class, represented by its smallest id; only representatives go into the tables.
 3. A table bucket gives edges from its smallest member, first inside each batch and then over all batches, so a bucket
    of g members makes g - 1 edges. Their components are families: every pair that meets in a bucket is in one family.
@@ -35,6 +36,8 @@ from statloom.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
+#: Least probability that a pair right at the threshold meets in a table.
+FOUND = 0.9985
 #: Representatives whose table keys are combined at once.
 COMBINED = 20_000
 _words: dict[bytes, int] = {}
@@ -177,18 +180,27 @@ def _links(first: list[np.ndarray], second: list[np.ndarray] | None, num: int, d
                 probe(int(i))
 
 
+def collections_for(similarity: float, rows: int) -> int:
+    """Half keys in a collection so that a pair of this similarity meets with probability FOUND."""
+    m = 1
+    while (1 - (1 - similarity**rows) ** m) ** 2 < FOUND:
+        m += 1
+    return m
+
+
 def near_dedup(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    m: int = 10,
+    m: int | None = None,
     rows: int = 4,
     seed: int = 7,
     block_shingles: int = 4_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; linked are sets with 100 * intersection >= percent * union."""
+    m = m or collections_for(percent / 100, rows)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
