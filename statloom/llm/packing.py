@@ -48,8 +48,8 @@ def encoder(spec: bytes) -> tuple:
     return _encoders[key]
 
 
-def encode(spec: bytes, text: str | None) -> np.ndarray:
-    fast, exact = encoder(spec)
+def encode(encoders: tuple, text: str | None) -> np.ndarray:
+    fast, exact = encoders
     if not text:
         return np.empty(0, "<u4")
     if len(text) > bpe.LONG_TEXT:
@@ -159,10 +159,11 @@ def pack(
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, open_windows, TaskContext.get().partitionId() << PART_BIT)
+        encoders = encoder(spec.value)
         for batch in batches:
             for part in slices(batch):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([encode(spec.value, text), end])
+                    ids = np.concatenate([encode(encoders, text), end])
                     packer.add(doc_id, 0, ids, len(ids))
                     if len(packer.out) >= ROWS:
                         yield rows(packer.out, types)
