@@ -16,7 +16,9 @@ from statloom.operators.table import Table
 from statloom.schema import ColumnType, SeriesStats
 
 #: Rows up to which one aggregate finds exact quantiles; beyond it ranks are narrowed by passes over the data.
-ONE_PASS_ROWS = 20_000_000
+ONE_PASS_ROWS = 2_000_000
+#: Rows among which the last step of narrowing picks a rank by sorting.
+RANK_ROWS = 200_000
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -77,7 +79,7 @@ def _ranked(data: DataFrame, rank: int, n: int) -> float:
     below, inside = 0, n
     while True:
         kept = data if low is None else data.where((F.col("v") >= low) & (F.col("v") <= high))
-        if inside <= ONE_PASS_ROWS:
+        if inside <= RANK_ROWS:
             return kept.orderBy("v").offset(rank - below).first()[0]
         share, eps = (rank - below) / inside, 2e-4
         a, b = kept.agg(F.percentile_approx("v", [max(0.0, share - eps), min(1.0, share + eps)], 10_000)).first()[0]

@@ -13,6 +13,7 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from statloom.plans.formula.ast import Formula
 from statloom.plans.formula.compile import Design, check_new_data, compile_formula
 from statloom.plans.formula.parser import parse
 from statloom.plans.linmod import dist
-from statloom.plans.linmod.gram import cross_products, r_factor
+from statloom.plans.linmod.gram import SUM_COLUMNS, cross_products, r_factor
 from statloom.plans.linmod.summary import Coefficient, ModelStatistics, ModelSummary, ResidualStatistics
 
 INTERCEPT = "(Intercept)"
@@ -248,6 +249,15 @@ class LinearModel:
         has = len(self.free) < self.p
         d = [self.design.columns[j][1] - F.lit(float(self.centre[j])) for j in self.free]
         out = F.lit(1 / self.n if has else 0.0)
+        if len(d) > SUM_COLUMNS:  # as many products as pairs would outgrow generated code
+            inverse = self.inner_inv
+
+            @F.arrow_udf("double")
+            def quadratic(x: pa.Array) -> pa.Array:
+                m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                return pa.array(((m @ inverse) * m).sum(axis=1))
+
+            return out + quadratic(F.array(*d))
         for i in range(len(d)):
             for j in range(i, len(d)):
                 out = out + F.lit(float(self.inner_inv[i, j] * (1 if i == j else 2))) * d[i] * d[j]

@@ -144,6 +144,18 @@ def test_wide_gram(spark, monkeypatch):
     assert rf.T @ rf == pytest.approx(a.T @ a)
 
 
+def test_wide_model(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (300, 44))
+    y = x @ np.arange(44) + r.normal(0, 1, 300)
+    t = make(spark, y=y, **{f"x{i}": x[:, i] for i in range(44)})
+    m = lm("y ~ " + " + ".join(f"x{i}" for i in range(44)), t)
+    full = np.column_stack([np.ones(300), x])
+    h = np.einsum("ij,jk,ik->i", full, np.linalg.inv(full.T @ full), full)
+    assert m.beta == pytest.approx(np.linalg.lstsq(full, y, rcond=None)[0], rel=1e-8, abs=1e-8)
+    assert [v.leverage for v in m.influence().orderBy("row_id").collect()] == pytest.approx(h)
+
+
 def test_summary_and_spark_ml(noisy):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression as SparkRegression

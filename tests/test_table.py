@@ -207,6 +207,7 @@ def test_corr_and_cov(spark):
 
 def test_exact_quantiles_by_narrowing(spark, monkeypatch):
     monkeypatch.setattr(stats, "ONE_PASS_ROWS", 50)
+    monkeypatch.setattr(stats, "RANK_ROWS", 50)
     df = spark.range(3000).selectExpr("cast(id * 7919 % 3001 AS double) AS v").unionByName(spark.range(400).selectExpr("1500.0D AS v"))
     got = stats.exact_quantiles(df, F.col("v"), [0.0, 0.25, 0.5, 0.977, 1.0])
     import numpy as np
