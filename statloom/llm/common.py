@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows that Spark puts into one Arrow batch of texts (its default is 10,000); set on the session by `small_batches`.
 BATCH_ROWS = 1000
 #: Rows of an Arrow batch are handed on in slices of about this many bytes of text.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 _own: list[str] = []
@@ -50,17 +50,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose text stays near SLICE_BYTES, so that long texts don't gather in Python."""
-    texts = batch.column(column)
+def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts near SLICE_BYTES, so that long texts don't gather in Python."""
     start, held = 0, 0
-    for i in range(batch.num_rows):
-        held += len(texts[i].as_buffer()) if texts[i].is_valid else 0
+    for i, text in enumerate(texts):
+        held += text.as_buffer().size if text.is_valid else 0
         if held >= SLICE_BYTES:
-            yield batch.slice(start, i + 1 - start)
+            yield start, i + 1 - start
             start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    if start < len(texts):
+        yield start, len(texts) - start
+
+
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in such runs of rows."""
+    for start, n in cuts(batch.column(column)):
+        yield batch.slice(start, n)
 
 
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], text: int = 1) -> DataFrame:

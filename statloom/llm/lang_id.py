@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import arrow_map, small_batches
+from statloom.llm.common import arrow_map, cuts, small_batches
 
 WINDOW, STATE, PAD = 64, 8, 256
 EXCERPT = 2000
@@ -205,6 +205,7 @@ def confident_rows(df: DataFrame, model: Labeller, text_col: str = "text", least
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.predict(texts.to_pylist())[1], pa.float64())
+        found = [s for at, n in cuts(texts) for s in shared.value.predict(texts.slice(at, n).to_pylist())[1]]
+        return pa.array(found, pa.float64())
 
     return df.where(score(F.col(text_col)) >= least)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import arrow_map, shared_table, slices, small_batches
+from statloom.llm.common import arrow_map, cuts, shared_table, slices, small_batches
 
 SYMBOLS, ORDER = 40, 4
 QUANTILES = (0.05, 0.5, 0.95)
@@ -223,8 +223,9 @@ def accepted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     @F.arrow_udf("struct<chars:long,log_ppl:double>")
     def score(texts: pa.Array) -> pa.Array:
-        sizes, mean = model.value.score(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(sizes), pa.array(-mean, from_pandas=True)], names=["chars", "log_ppl"])
+        parts = [model.value.score(texts.slice(at, n).to_pylist()) for at, n in cuts(texts)]
+        sizes, mean = (np.concatenate([p[k] for p in parts] or [np.empty(0)]) for k in (0, 1))
+        return pa.StructArray.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(-mean, from_pandas=True)], names=["chars", "log_ppl"])
 
     small_batches(docs.sparkSession)
     row = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("r"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"), score(F.col(text_col)).alias("s"))
