@@ -38,8 +38,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
 #: Least probability that a pair right at the threshold meets in a table.
 FOUND = 0.9985
-#: Representatives whose table keys are combined at once.
-COMBINED = 20_000
+#: Table keys that a worker combines at once.
+COMBINED_KEYS = 1_000_000
 _words: dict[bytes, int] = {}
 
 
@@ -225,12 +225,12 @@ def near_dedup(
     classes = shared_table(full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r")).select("h1", "h2", "r.*"), "classes")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Batches gathered to about COMBINED rows, so that a frequent key is combined before the shuffle."""
-        held, n = [], 0
+        """Batches gathered to about COMBINED_KEYS keys, so that a frequent key is combined before the shuffle."""
+        held, n, most = [], 0, COMBINED_KEYS // (m * m)
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= COMBINED:
+            if n >= most:
                 yield pa.Table.from_batches(held)
                 held, n = [], 0
         if n:
