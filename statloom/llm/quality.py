@@ -27,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.common import arrow_map, cuts, shared_table, slices, small_batches
 
 SYMBOLS, ORDER = 40, 4
 QUANTILES = (0.05, 0.5, 0.95)
+#: Bins of log perplexity to 1.
+BINS = 1000
 
 _classes: list[np.ndarray] = []
 
@@ -171,10 +173,13 @@ def limits(scores: DataFrame, labels: DataFrame, stretch: float, least: int) ->
     """(l, b, low, high): limits of log perplexity for each language and band that the scores hold."""
     known = scores.where(F.col("log_ppl").isNotNull())
     good = known.join(trusted_ids(labels), F.col("doc_id") == F.col("trusted"))
-    quantile = F.percentile_approx("log_ppl", list(QUANTILES), 10_000)
-    each = good.groupBy("l", "b").agg(F.count("*").alias("n"), quantile.alias("q")).where(F.col("n") >= least)
-    q = [F.col("q")[i] for i in range(3)]
-    each = each.select("l", F.col("b").alias("near"), q[1].alias("mid"), (q[1] - q[0]).alias("down"), (q[2] - q[1]).alias("up"))
+    # Quantiles of counts by bin: the same on every run, and a group holds its bins, not its documents.
+    bins = good.groupBy("l", "b", F.floor(F.col("log_ppl") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy("l", "b")
+    bins = bins.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("n", F.sum("n").over(group)).where(F.col("n") >= least)
+    found = [((F.min(F.when(F.col("below") >= q * F.col("n"), F.col("bin"))) + 0.5) / BINS).alias(f"q{i}") for i, q in enumerate(QUANTILES)]
+    each = bins.groupBy("l", "b").agg(*found)
+    each = each.select("l", F.col("b").alias("near"), F.col("q1").alias("mid"), (F.col("q1") - F.col("q0")).alias("down"), (F.col("q2") - F.col("q1")).alias("up"))
     # Languages times at most 64 bands, each with the language's bands: a small table whatever the corpus.
     bands = known.select("l", "b").distinct().join(each, "l")
     nearest = bands.groupBy("l", "b").agg(F.min_by(F.struct("near", "mid", "down", "up"), F.abs(F.col("near") - F.col("b")) * 2 + (F.col("near") < F.col("b")).cast("int")).alias("e"))
