@@ -11,9 +11,9 @@ text.
 A document is rejected if its log perplexity lies outside limits of its language and length band (powers of two of the
 number of characters): the median of trusted documents there, minus `stretch` times the distance from the lower
 quantile to the median, and plus `stretch` times the distance from the median to the upper quantile. Repetitive text
-falls below, symbol noise and shouting above. A band with fewer than `least` trusted documents takes the quantiles of its
-language's nearest band, widened by the square root of the ratio of lengths where texts are shorter; a language without
-any rejects nothing.
+falls below, symbol noise and shouting above. Every cell has limits, however few its trusted documents: the three
+figures of a cell with n trusted documents are weighted n to `least` with those of its language over all bands, and these
+likewise with those of all languages together, so they move from the pooled to the own figures without a switch.
 
 Defined results: a null or empty text has null perplexity and is rejected; a null language is a language of its own;
 labels that repeat count once, labels without a document count nothing; without trusted text every other document is
@@ -169,22 +169,34 @@ def band(chars):
     return F.floor(F.log2(F.greatest(chars, F.lit(1)))).cast("int")
 
 
+def _spread(bins: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, and a struct `name` of n, mid, down and up: trusted documents of a group and the quantiles of their log perplexity."""
+    # Quantiles of counts by bin: the same on every run, and a group holds its bins, not its documents.
+    bins = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by)
+    bins = bins.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("n", F.sum("n").over(group))
+    found = [((F.min(F.when(F.col("below") >= q * F.col("n"), F.col("bin"))) + 0.5) / BINS).alias(f"q{i}") for i, q in enumerate(QUANTILES)]
+    each = bins.groupBy(*by).agg(F.max("n").alias("n"), *found)
+    return each.select(*by, F.struct("n", F.col("q1").alias("mid"), (F.col("q1") - F.col("q0")).alias("down"), (F.col("q2") - F.col("q1")).alias("up")).alias(name))
+
+
 def limits(scores: DataFrame, labels: DataFrame, stretch: float, least: int) -> DataFrame:
     """(l, b, low, high): limits of log perplexity for each language and band that the scores hold."""
     known = scores.where(F.col("log_ppl").isNotNull())
     good = known.join(trusted_ids(labels), F.col("doc_id") == F.col("trusted"))
-    # Quantiles of counts by bin: the same on every run, and a group holds its bins, not its documents.
     bins = good.groupBy("l", "b", F.floor(F.col("log_ppl") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    group = Window.partitionBy("l", "b")
-    bins = bins.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("n", F.sum("n").over(group)).where(F.col("n") >= least)
-    found = [((F.min(F.when(F.col("below") >= q * F.col("n"), F.col("bin"))) + 0.5) / BINS).alias(f"q{i}") for i, q in enumerate(QUANTILES)]
-    each = bins.groupBy("l", "b").agg(*found)
-    each = each.select("l", F.col("b").alias("near"), F.col("q1").alias("mid"), (F.col("q1") - F.col("q0")).alias("down"), (F.col("q2") - F.col("q1")).alias("up"))
-    # Languages times at most 64 bands, each with the language's bands: a small table whatever the corpus.
-    bands = known.select("l", "b").distinct().join(each, "l")
-    nearest = bands.groupBy("l", "b").agg(F.min_by(F.struct("near", "mid", "down", "up"), F.abs(F.col("near") - F.col("b")) * 2 + (F.col("near") < F.col("b")).cast("int")).alias("e"))
-    wide = stretch * F.pow(F.lit(2.0), F.greatest(F.col("e.near") - F.col("b"), F.lit(0)) / 2)
-    return nearest.select("l", "b", (F.col("e.mid") - wide * F.col("e.down")).alias("low"), (F.col("e.mid") + wide * F.col("e.up")).alias("high"))
+    # Languages times at most 64 bands: a small table whatever the corpus.
+    cells = known.select("l", "b").distinct().join(_spread(bins, ["l", "b"], "band"), ["l", "b"], "left")
+    cells = cells.join(_spread(bins, ["l"], "language"), "l", "left").join(_spread(bins, [], "every"), how="left")
+
+    def pooled(part: str):
+        value = F.col("every")[part]
+        for level in ("language", "band"):
+            n = F.col(level)["n"]
+            value = F.coalesce((n * F.col(level)[part] + least * value) / (n + least), value)
+        return value
+
+    return cells.select("l", "b", (pooled("mid") - stretch * pooled("down")).alias("low"), (pooled("mid") + stretch * pooled("up")).alias("high"))
 
 
 def _scored(docs: DataFrame, model, id_col: str, text_col: str, lang_col: str) -> DataFrame:

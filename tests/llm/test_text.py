@@ -151,6 +151,20 @@ def test_quality(spark):
     assert free.where("NOT kept").count() == 2
 
 
+def test_quality_judges_rare_languages(spark):
+    """A language with few or no trusted texts has limits too, as has every length band."""
+    r = random.Random(5)
+    rows = [(i, prose(r, "aa", r.randint(40, 120)), "aa") for i in range(40)]
+    rows += [(100 + i, prose(r, "aa", r.randint(40, 120)), "rare") for i in range(10)]
+    junk = [(1000 + i, " ".join("$%&" + w.upper() + "!!" for w in prose(r, "aa", n).split()), lang) for i, (lang, n) in enumerate((x, n) for x in ("aa", "rare", "none", None) for n in (60, 2000))]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(40), *range(100, 103)]], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.classify(docs, labels).collect()}
+    assert all(x.low is not None and x.high is not None for x in got.values())
+    assert not any(x.kept for i, x in got.items() if i >= 1000)
+    assert sum(x.kept for i, x in got.items() if i < 1000) >= 49
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
 <div class="ad">Buy &amp; save.</div><article><h1>Head &lt;line&gt;</h1><p>One <b>bold</b>
  text<br>here. It goes on and on, as articles do.<p>Two &eacute;&nbsp;x is another longer paragraph of this article.</p><script>var x = "<p>no</p>";</script><!-- <p>no</p> --></article><footer>&copy; me</footer></body></html>"""
