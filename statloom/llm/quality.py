@@ -1,12 +1,9 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character classes, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of real characters, trained on trusted text.
 
-Characters fall into SYMBOLS classes, so an n-gram of ORDER symbols is a number below SYMBOLS ** ORDER and every table
-of the model has that proven bound, whatever the corpus. Counts cover all trusted documents: each partition of trusted
-text counts into one dense array and passes on its distinct n-grams, which are summed in shards keyed by n-gram. The
-probabilities come from joins of those sharded counts: n-gram counts with the sums and count-of-count figures of their
-context, and with the probabilities of the next lower order, whose counts are the numbers of distinct symbols that
-precede. A document's perplexity is the exponential of minus its mean log probability per character, over its whole
-text.
+Counts cover all trusted documents and the model grows with them: `ngram_model` keeps n-grams of real characters in
+tables sharded by n-gram and scores documents by joining their n-grams with these. A document's perplexity is the
+exponential of minus its mean log probability per character, over its whole text. The model of character classes below
+(`ngrams` to `Perplexity`) is not used by the operator.
 
 A document is rejected if its log perplexity lies outside limits of its language and length band (powers of two of the
 number of characters): the median of trusted documents there, minus `stretch` times the distance from the lower
@@ -30,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import arrow_map, cuts, shared_table, slices, small_batches
+from statloom.llm import ngram_model
+from statloom.llm.common import shared_table, slices, small_batches
 
 SYMBOLS, ORDER = 40, 4
 QUANTILES = (0.05, 0.5, 0.95)
@@ -158,13 +156,6 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "q
     return labels.where((F.col(quality_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted")).distinct()
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Perplexity:
-    trusted = trusted_ids(labels)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    text = rows.join(trusted.hint("shuffle_hash"), F.col("id") == F.col("trusted")).select("text")
-    return Perplexity(kneser_ney(count_ngrams(text)))
-
-
 def band(chars):
     return F.floor(F.log2(F.greatest(chars, F.lit(1)))).cast("int")
 
@@ -199,17 +190,15 @@ def limits(scores: DataFrame, labels: DataFrame, stretch: float, least: int) ->
     return cells.select("l", "b", (pooled("mid") - stretch * pooled("down")).alias("low"), (pooled("mid") + stretch * pooled("up")).alias("high"))
 
 
-def _scored(docs: DataFrame, model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    def make():
-        def work(batch):
-            sizes, mean = model.value.score(batch.column(1).to_pylist())
-            return {"doc_id": batch.column(0), "l": batch.column(2), "chars": sizes, "log_ppl": pa.array(-mean, from_pandas=True)}
-
-        return work
-
-    rows = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(lang_col), F.lit("")))
-    id_type = rows.schema[0].dataType.simpleString()
-    return arrow_map(rows, f"doc_id {id_type}, l string, chars long, log_ppl double", make).withColumn("b", band(F.col("chars")))
+def _scored(rows: DataFrame, labels: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows by place, their place, doc_id, l, chars, log_ppl, fresh and b) of rows with doc_id and l."""
+    trusted = trusted_ids(labels).hint("shuffle_hash")
+    flagged = rows.join(trusted, F.col("doc_id") == F.col("trusted"), "left").withColumn("good", F.col("trusted").isNotNull()).drop("trusted")
+    held = ngram_model.blocks(flagged, text)
+    good = held.where("good").select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    model = ngram_model.nodes(ngram_model.count_ngrams(good))
+    found = held.select("place", "doc_id", "l").join(ngram_model.scores(held, model, text), "place")
+    return held, shared_table(found.withColumn("b", band(F.col("chars"))), "scores")
 
 
 def _verdict(log_ppl):
@@ -218,8 +207,8 @@ def _verdict(log_ppl):
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", stretch: float = 3.5, least: int = 50) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, low, high, kept for every row; low and high are limits of perplexity."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
-    scores = shared_table(_scored(docs, model, id_col, text_col, lang_col), "scores")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"))
+    _, scores = _scored(rows, labels, "text")
     bounds = shared_table(limits(scores, labels, stretch, least), "limits")
     out = scores.join(bounds, ["l", "b"], "left")
     return out.select(
@@ -235,17 +224,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", stretch: float = 3.5, least: int = 50) -> DataFrame:
     """The rows that `classify` keeps, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
-    bounds = shared_table(limits(_scored(docs, model, id_col, text_col, lang_col), labels, stretch, least), "limits")
-
-    @F.arrow_udf("struct<chars:long,log_ppl:double>")
-    def score(texts: pa.Array) -> pa.Array:
-        parts = [model.value.score(texts.slice(at, n).to_pylist()) for at, n in cuts(texts)]
-        sizes, mean = (np.concatenate([p[k] for p in parts] or [np.empty(0)]) for k in (0, 1))
-        return pa.StructArray.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(-mean, from_pandas=True)], names=["chars", "log_ppl"])
-
-    small_batches(docs.sparkSession)
-    row = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("r"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"), score(F.col(text_col)).alias("s"))
-    row = row.withColumn("b", band(F.col("s.chars"))).withColumn("log_ppl", F.col("s.log_ppl"))
-    kept = row.join(bounds, ["l", "b"], "left").where(_verdict(F.col("log_ppl")))
-    return kept.select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    text = f"r.c{docs.columns.index(text_col)}"
+    rows = docs.select(row.alias("r"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"))
+    held, scores = _scored(rows, labels, text)
+    bounds = shared_table(limits(scores, labels, stretch, least), "limits")
+    kept = scores.join(bounds, ["l", "b"], "left").where(_verdict(F.col("log_ppl"))).select("place")
+    return held.join(kept, "place", "left_semi").select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)))
