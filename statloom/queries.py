@@ -492,6 +492,11 @@ def q40_intervals(spark, d):
     t, new = t_quantile(0.975, m.df_residual), events(spark, d)
     a = m.predict_ci(new).select("event_id", F.round((F.col("upper") - F.col("lower")) / (2 * t), 6).alias("mean_se"))
     b = m.predict_pi(new).select("event_id", F.round((F.col("upper") - F.col("lower")) / (2 * t), 6).alias("new_se"))
+@query(INFLUENCE + "SELECT event_id, round(f, 6) AS prediction FROM r")
+def q40_predict_all(spark, d):
+    return rounded(_events_model(spark, d).predict(events(spark, d).select(["event_id", "user_id"])))
+
+
     return a.join(b, "event_id")
 
 
