@@ -7,8 +7,9 @@ exponential of minus its mean log probability per character, over its whole text
 
 A document is rejected if its log perplexity lies outside limits of its language and length band (powers of two of the
 number of characters): the median of trusted documents there, minus `stretch` times the distance from the lower
-quantile to the median, and plus `stretch` times the distance from the median to the upper quantile. Repetitive text
-falls below, symbol noise and shouting above. Every cell has limits, however few its trusted documents: the three
+quantile to the median, and plus `stretch` times the distance from the median to the upper quantile. Symbol noise
+and shouting rise above. Repetition is seen by a document's freshness, the share of its characters that end an n-gram new
+to the document, which has a lower limit of the same kind. Every cell has limits, however few its trusted documents: the three
 figures of a cell with n trusted documents are weighted n to `least` with those of its language over all bands, and these
 likewise with those of all languages together, so they move from the pooled to the own figures without a switch.
 
@@ -161,7 +162,7 @@ def band(chars):
 
 
 def _spread(bins: DataFrame, by: list[str], name: str) -> DataFrame:
-    """by, and a struct `name` of n, mid, down and up: trusted documents of a group and the quantiles of their log perplexity."""
+    """by, and a struct `name` of n, mid, down and up: trusted documents of a group and the quantiles of their figure."""
     # Quantiles of counts by bin: the same on every run, and a group holds its bins, not its documents.
     bins = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by)
@@ -172,10 +173,15 @@ def _spread(bins: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def limits(scores: DataFrame, labels: DataFrame, stretch: float, least: int) -> DataFrame:
-    """(l, b, low, high): limits of log perplexity for each language and band that the scores hold."""
+    """(l, b, low, high, fresh_low): limits of log perplexity and log freshness for each language and band of the scores."""
+    fresh = _limits(scores, F.ln("fresh"), labels, stretch, least).select("l", "b", F.col("low").alias("fresh_low"))
+    return _limits(scores, F.col("log_ppl"), labels, stretch, least).join(fresh, ["l", "b"])
+
+
+def _limits(scores: DataFrame, value, labels: DataFrame, stretch: float, least: int) -> DataFrame:
     known = scores.where(F.col("log_ppl").isNotNull())
     good = known.join(trusted_ids(labels), F.col("doc_id") == F.col("trusted"))
-    bins = good.groupBy("l", "b", F.floor(F.col("log_ppl") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    bins = good.groupBy("l", "b", F.floor(value * BINS).alias("bin")).agg(F.count("*").alias("n"))
     # Languages times at most 64 bands: a small table whatever the corpus.
     cells = known.select("l", "b").distinct().join(_spread(bins, ["l", "b"], "band"), ["l", "b"], "left")
     cells = cells.join(_spread(bins, ["l"], "language"), "l", "left").join(_spread(bins, [], "every"), how="left")
@@ -202,11 +208,12 @@ def _scored(rows: DataFrame, labels: DataFrame, text: str) -> tuple[DataFrame, D
 
 
 def _verdict(log_ppl):
-    return log_ppl.isNotNull() & F.coalesce(log_ppl >= F.col("low"), F.lit(True)) & F.coalesce(log_ppl <= F.col("high"), F.lit(True))
+    inside = log_ppl.isNotNull() & F.coalesce(log_ppl >= F.col("low"), F.lit(True)) & F.coalesce(log_ppl <= F.col("high"), F.lit(True))
+    return inside & F.coalesce(F.ln("fresh") >= F.col("fresh_low"), F.lit(True))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", stretch: float = 3.5, least: int = 50) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, low, high, kept for every row; low and high are limits of perplexity."""
+    """doc_id, lang, n_chars, perplexity, low, high, fresh, fresh_low, kept for every row; low and high limit perplexity."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"))
     _, scores = _scored(rows, labels, "text")
     bounds = shared_table(limits(scores, labels, stretch, least), "limits")
@@ -218,6 +225,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         F.exp("log_ppl").alias("perplexity"),
         F.exp("low").alias("low"),
         F.exp("high").alias("high"),
+        "fresh",
+        F.exp("fresh_low").alias("fresh_low"),
         _verdict(F.col("log_ppl")).alias("kept"),
     )
 

@@ -177,6 +177,18 @@ def test_html(spark):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     by_id = {r.page_id: r.text for r in got}
     assert by_id[1] == "Head <line>\n\nOne bold text here. It goes on and on, as articles do.\n\nTwo é x is another longer paragraph of this article."
+def test_quality_sees_repetition(spark):
+    """Texts that repeat one usual word are rejected, though each of its characters is likely."""
+    r = random.Random(6)
+    rows = [(i, prose(r, "aa", r.randint(40, 120)), "aa") for i in range(120)]
+    words = [w for _, t, _ in rows[:10] for w in t.split()[3:4]]
+    docs = spark.createDataFrame(rows + [(1000 + i, " ".join([w] * 90), "aa") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.classify(docs, spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")).collect()}
+    assert not any(x.kept for i, x in got.items() if i >= 1000)
+    assert any(x.low <= x.perplexity <= x.high for i, x in got.items() if i >= 1000)
+    assert sum(x.kept for i, x in got.items() if i < 1000) >= 117
+
+
     assert by_id[2] == by_id[3] == by_id[7] == "" and by_id[5].count("\n\n") == 4999
     assert html_text.extract(df.limit(0)).count() == 0
     assert html_text.extract(df.where("page_id = 1"), with_blocks=True).first().labels[0].block == "Home"
