@@ -141,10 +141,14 @@ def nearest(
         return rows.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform("v", lambda x: x + zero))
 
     rows = usable(df)
+    # k rows of an id and k + 1 ids are enough: without the query's own id there are still k rows, if there are so many.
     by = Window.partitionBy("v").orderBy("id")
-    few = rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
-    classes = shared_table(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("cid", F.col("ids")[0]), "classes")
-    taught = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("v").collect()
+    few = rows.groupBy("v", "id").agg(F.count("*").alias("times")).withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
+    held = F.sort_array(F.collect_list(F.struct("id", F.least("times", F.lit(k)).cast("int").alias("times"))))
+    ids = F.flatten(F.transform(held, lambda h: F.array_repeat(h["id"], h["times"])))
+    # Classes can share ids, so they have a number of their own.
+    classes = shared_table(few.groupBy("v").agg(ids.alias("ids")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    taught = classes.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0], "v").limit(sample).select("v").collect()
     if not taught:
         return classes.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     lengths = np.array([len(r.v) for r in taught])
@@ -165,19 +169,27 @@ def nearest(
         if held.num_rows and asks.num_rows:
             vectors, q = _matrix(held.column("v")), _matrix(asks.column("q"))
             shard, ids = Shard(codes.value, vectors), held.column("ids").to_pylist()
+            least = np.array([i[0] for i in ids])
             norms, q_norms = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             bits = codes.value.encode(q)
             for cid, v, n, b in zip(asks.column("qid").to_pylist(), q, q_norms, bits, strict=True):
                 radius = codes.value.radius
                 found = shard.within(b, radius)
-                while len(found) < min(k + 1, len(vectors)):
+                while len(found) < len(vectors) and (len(found) <= k or len(np.unique(least[found])) <= k):
                     radius += SUBSTRINGS
                     found = shard.within(b, radius)
                 score = (vectors[found] * v).sum(axis=1) / (norms[found] * n)
-                if len(found) > k + 1:  # all that tie with the last place
-                    found = found[score >= np.partition(score, -(k + 1))[-(k + 1)]]
+                order = np.argsort(-score, kind="stable")
+                new = np.sort(np.unique(least[found[order]], return_index=True)[1])
+                if len(new) > k + 1:  # all that tie with the class that brings id k + 1
+                    found = found[score >= score[order[new[k]]]]
                     score = (vectors[found] * v).sum(axis=1) / (norms[found] * n)
-                best = sorted(zip((-score).tolist(), (ids[i] for i in found), strict=True))[: k + 1]
+                best, seen = [], set()
+                for item in sorted(zip((-score).tolist(), (ids[i] for i in found), strict=True)):
+                    if len(seen) > k:
+                        break
+                    best.append(item)
+                    seen.add(item[1][0])
                 out_q += [cid] * len(best)
                 out_ids += [i for _, i in best]
                 out_s += [-s for s, _ in best]
@@ -186,7 +198,10 @@ def nearest(
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, "cid long, ids array<long>, score double")
     each = found.select("cid", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("cid").orderBy(F.desc("score"), "vec_id")
-    top = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    again = Window.partitionBy("cid", "vec_id").orderBy(F.desc("score"))
+    each = each.withColumn("again", F.row_number().over(again)).where(F.col("again") <= k)
+    each = each.withColumn("ids", F.count_if(F.col("again") == 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    top = each.where(F.col("ids") <= k + 1).withColumn("n", F.row_number().over(order))
     lists = top.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     mine = asked.join(lists, "cid").select("id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("id")), 1, k).alias("best"))
     out = mine.select(F.col("id").alias("query_id"), F.posexplode("best").alias("pos", "b"))

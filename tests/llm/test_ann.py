@@ -58,6 +58,15 @@ def test_copies_ties_and_bad_vectors(spark):
     assert all(s == pytest.approx(1) for _, _, s in got[50])
 
 
+def test_repeated_ids_leave_k_neighbours(spark):
+    """Rows of the query's own id, in its class or in others, take no places of other ids."""
+    own = [(0, [1.0, 0.0, 0.0])] * 9 + [(0, [1.0, 0.001 * i, 0.0]) for i in range(1, 9)]
+    df = frame(spark, own + [(i, [1.0, 0.0, 0.0]) for i in range(1, 4)] + [(i, [1.0, 0.3 + 0.01 * i, 0.0]) for i in range(4, 12)] + [(1, [1.0, 0.0, 0.0])])
+    asked = frame(spark, [(0, [1.0, 0.0, 0.0])])
+    got = sorted((x.rank, x.vec_id) for x in ann.nearest(df, asked, shard_rows=6).collect())
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4)]
+
+
 def test_small_and_empty(spark):
     few = frame(spark, [(0, [1, 0]), (1, [0, 1]), (2, [1, 1])])
     got = sorted((x.rank, x.vec_id) for x in ann.nearest(few, few.where("vec_id % 50 = 0")).collect())
