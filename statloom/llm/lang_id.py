@@ -1,7 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on the driver, on a bounded sample: `per_lang` labelled
-documents of each language (one of each hash bucket), EXCERPT characters of each. Every byte position gets language
+documents of each language (one of each hash bucket), and of the first EXCERPT characters of each at most `windows_each`
+windows of WINDOW bytes, those with the least hash of id and place, so from all parts of the excerpt. Every byte position gets language
 probabilities from a forward and a backward GRU state; a document's probabilities are the mean over its positions.
 Texts are read whole, in windows of WINDOW bytes that run through the network side by side; each window starts from the
 zero state, so memory is one slice of texts whatever their length. Gates use the hard sigmoid.
@@ -13,6 +14,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -159,6 +162,14 @@ class Labeller:
         return langs, scores
 
 
+def spread(id: object, count: int, most: int) -> np.ndarray:
+    """Which of a text's windows are learned from: the `most` with the least hash of id and place."""
+    order = np.argsort([zlib.crc32(f"{id} {j}".encode()) for j in range(count)], kind="stable")
+    taken = np.zeros(count, bool)
+    taken[order[:most]] = True
+    return taken
+
+
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 256, windows_each: int = 16) -> Labeller:
     """Train on the sample described above; rows that are held out are never read for it."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -170,8 +181,9 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = sorted({r.lang for r in chosen})
     x, counts = windows([r.text.encode() for r in chosen if r.text])
     y = np.repeat([langs.index(r.lang) for r in chosen if r.text], counts)
-    first = np.concatenate([np.arange(c) for c in counts]) if len(counts) else np.empty(0, int)
-    x, y = x[:, first < windows_each], y[first < windows_each]
+    ids = [r.id for r in chosen if r.text]
+    taken = np.concatenate([spread(i, c, windows_each) for i, c in zip(ids, counts.tolist(), strict=True)]) if ids else np.empty(0, bool)
+    x, y = x[:, taken], y[taken]
     if not len(y):
         return Labeller([], None)
     # Each language counts alike, whatever its share of the sample.

@@ -55,6 +55,18 @@ def test_language_learns_only_from_its_part(spark, labelled):
     assert a.langs == b.langs and all((a.net.p[k] == b.net.p[k]).all() for k in a.net.p)
 
 
+def test_language_windows_come_from_the_whole_excerpt(spark):
+    """Texts that begin with a long shared passage still teach their languages."""
+    assert all(lang_id.spread(i, 40, 16).sum() == 16 and lang_id.spread(i, 40, 16)[20:].any() for i in range(50))
+    assert lang_id.spread(1, 3, 16).all()
+    r = random.Random(9)
+    shared = prose(r, "cc", 400)[:1100]
+    rows = [(i, shared + prose(r, lang, 250), lang) for i in range(120) for lang in [("aa", "bb")[i % 2]]]
+    model = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fresh = [(prose(r, lang, 40), lang) for lang in ("aa", "bb") * 10]
+    assert sum(p == lang for p, (_, lang) in zip(model.predict([t for t, _ in fresh])[0], fresh, strict=True)) >= 18
+
+
 def test_language_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = lang_id.learn(empty)
@@ -165,18 +177,6 @@ def test_quality_judges_rare_languages(spark):
     assert sum(x.kept for i, x in got.items() if i < 1000) >= 49
 
 
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
-<div class="ad">Buy &amp; save.</div><article><h1>Head &lt;line&gt;</h1><p>One <b>bold</b>
- text<br>here. It goes on and on, as articles do.<p>Two &eacute;&nbsp;x is another longer paragraph of this article.</p><script>var x = "<p>no</p>";</script><!-- <p>no</p> --></article><footer>&copy; me</footer></body></html>"""
-
-
-def test_html(spark):
-    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>"), (1, "u", PAGE), (4, "u", "plain text without a tag"), (5, "u", "<article>" + "<p>A paragraph of prose, once more.</p>" * 5000 + "</article>"), (6, "u", "<<<>>> <p <b> </ <div class='"), (7, "u", "<script>never closed")]
-    df = spark.createDataFrame([(*x, "text", 3) for x in rows], "page_id long, url string, html string, text string, n_chars int")
-    got = html_text.extract(df.repartition(2)).collect()
-    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
-    by_id = {r.page_id: r.text for r in got}
-    assert by_id[1] == "Head <line>\n\nOne bold text here. It goes on and on, as articles do.\n\nTwo é x is another longer paragraph of this article."
 def test_quality_sees_repetition(spark):
     """Texts that repeat one usual word are rejected, though each of its characters is likely."""
     r = random.Random(6)
@@ -189,6 +189,18 @@ def test_quality_sees_repetition(spark):
     assert sum(x.kept for i, x in got.items() if i < 1000) >= 117
 
 
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
+<div class="ad">Buy &amp; save.</div><article><h1>Head &lt;line&gt;</h1><p>One <b>bold</b>
+ text<br>here. It goes on and on, as articles do.<p>Two &eacute;&nbsp;x is another longer paragraph of this article.</p><script>var x = "<p>no</p>";</script><!-- <p>no</p> --></article><footer>&copy; me</footer></body></html>"""
+
+
+def test_html(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>"), (1, "u", PAGE), (4, "u", "plain text without a tag"), (5, "u", "<article>" + "<p>A paragraph of prose, once more.</p>" * 5000 + "</article>"), (6, "u", "<<<>>> <p <b> </ <div class='"), (7, "u", "<script>never closed")]
+    df = spark.createDataFrame([(*x, "text", 3) for x in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract(df.repartition(2)).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    by_id = {r.page_id: r.text for r in got}
+    assert by_id[1] == "Head <line>\n\nOne bold text here. It goes on and on, as articles do.\n\nTwo é x is another longer paragraph of this article."
     assert by_id[2] == by_id[3] == by_id[7] == "" and by_id[5].count("\n\n") == 4999
     assert html_text.extract(df.limit(0)).count() == 0
     assert html_text.extract(df.where("page_id = 1"), with_blocks=True).first().labels[0].block == "Home"
