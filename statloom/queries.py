@@ -122,6 +122,14 @@ def q10_arrange_head(spark, d):
     return Arrange(orders(spark, d)).by("o_totalprice", False).execute().select(["o_orderkey", "o_totalprice"]).df.limit(100)
 
 
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def q10_arrange_verb(spark, d):
+    """The verb's whole result with the places of its rows as they come."""
+    df = Arrange(orders(spark, d)).by("o_totalprice", False).execute().select(["o_orderkey", "o_totalprice"]).df
+    placed = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return spark.createDataFrame(placed, "o_orderkey long, o_totalprice double, place long")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r >= 100 AND r < 250")
 def q11_slice(spark, d):
     return orders(spark, d).slice(100, 250).select(["o_orderkey", "o_totalprice"]).df
@@ -484,6 +492,11 @@ def q40_predict(spark, d):
     return rounded(_events_model(spark, d).predict(new))
 
 
+@query(INFLUENCE + "SELECT event_id, round(f, 6) AS prediction FROM r")
+def q40_predict_all(spark, d):
+    return rounded(_events_model(spark, d).predict(events(spark, d).select(["event_id", "user_id"])))
+
+
 @query(INFLUENCE + "SELECT event_id, round(sqrt(s2 * h), 6) AS mean_se, round(sqrt(s2 * (1 + h)), 6) AS new_se FROM r, s")
 def q40_intervals(spark, d):
     from statloom.plans.linmod.dist import t_quantile
@@ -492,11 +505,6 @@ def q40_intervals(spark, d):
     t, new = t_quantile(0.975, m.df_residual), events(spark, d)
     a = m.predict_ci(new).select("event_id", F.round((F.col("upper") - F.col("lower")) / (2 * t), 6).alias("mean_se"))
     b = m.predict_pi(new).select("event_id", F.round((F.col("upper") - F.col("lower")) / (2 * t), 6).alias("new_se"))
-@query(INFLUENCE + "SELECT event_id, round(f, 6) AS prediction FROM r")
-def q40_predict_all(spark, d):
-    return rounded(_events_model(spark, d).predict(events(spark, d).select(["event_id", "user_id"])))
-
-
     return a.join(b, "event_id")
 
 
