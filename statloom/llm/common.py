@@ -31,14 +31,71 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folder of each intermediate table that this process wrote, by the table.
+_written: dict[str, str] = {}
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/statloom/{name}-{uuid.uuid4().hex}"
+    _written[path.rsplit("/", 1)[1]] = path
+    return path
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: it cuts lineage and survives lost executors."""
+    """Write df once as Parquet in the shared folder and read it back: it cuts lineage and survives lost executors.
+
+    The table stays until `drop_tables` or `drop_written` removes it, since the caller's plan may read it at any time.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/statloom/{name}-{uuid.uuid4().hex}"
+    path = _path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, *keys: str, shuffle: bool = False) -> DataFrame:
+    """As shared_table, in as many buckets by keys as shuffles have partitions: groups and joins by keys need no exchange.
+
+    shuffle: deal the rows by keys first, so that each bucket is one file; else each task writes the buckets it has.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = _path(spark, name)
+    called = path.rsplit("/", 1)[1].replace("-", "_")
+    if shuffle:
+        df = df.repartition(n, *keys).sortWithinPartitions(*keys)
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys)
+    (writer.sortBy(*keys) if shuffle else writer).saveAsTable(called)
+    out = spark.table(called)
+    out.schema  # analysed before the name goes; the files stay
+    spark.sql(f"DROP TABLE {called}")
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop_tables(tables: list[DataFrame]) -> None:
+    """Remove intermediate tables that no plan reads any more."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            for name in [x for x in file.split("/") if x in _written]:
+                _delete(t.sparkSession, _written.pop(name))
+
+
+def written() -> set[str]:
+    """Names of the intermediate tables so far, for `drop_written`."""
+    return set(_written)
+
+
+def drop_written(spark: SparkSession, keep: set[str]) -> None:
+    """Remove all intermediate tables of this process but those named; for use once results are written."""
+    for name in set(_written) - keep:
+        _delete(spark, _written.pop(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,21 +107,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of texts near SLICE_BYTES, so that long texts don't gather in Python."""
+def cuts(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts near `size` bytes, so that long texts don't gather in Python."""
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += text.as_buffer().size if text.is_valid else 0
-        if held >= SLICE_BYTES:
+        if held >= size:
             yield start, i + 1 - start
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts) - start
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in such runs of rows."""
-    for start, n in cuts(batch.column(column)):
+    for start, n in cuts(batch.column(column), size):
         yield batch.slice(start, n)
 
 

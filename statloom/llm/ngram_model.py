@@ -1,16 +1,21 @@
 """Interpolated modified Kneser-Ney model of real characters, its n-grams kept in tables sharded by n-gram.
 
 An n-gram of up to ORDER characters is the exact number hi * 2 ** 63 + lo of its code points, 21 bits each, shifted by
-SHIFT so that shorter n-grams differ from longer ones; a text starts after ORDER - 1 border symbols. Nothing of the
-model is collected: counts are summed by n-gram, probabilities come from joins of those tables, and the model is one
-table of nodes (hi, lo, p, m, left, cm): the probability of an n-gram and its occurrences, what its continuations leave
-to the next lower order and their occurrences.
-
-Texts are scored in blocks of about BLOCK_CHARS characters. Each block asks for the nodes of its distinct n-grams, the
-questions are joined with the table of nodes, and the answers go back to the block, where each document's log
-probabilities are added up. A block asks once for an n-gram, so a common n-gram is one row a block, not one a document.
-For a text that the model was counted on, n-grams and contexts that occur nowhere else are unseen ones; otherwise it
-would score better than any equally good text that is new.
+SHIFT so that shorter n-grams differ from longer ones; a text starts after ORDER - 1 border symbols.
+
+1. `blocks` packs the rows into blocks of about BLOCK_CHARS characters, compressed Arrow batches in a table bucketed by
+   block, so no later step moves a text again.
+2. `questions` lists each block's distinct n-grams with their counts in trusted texts. Trusted texts fall into two folds
+   by a hash of their id, with counts and a model each.
+3. `answers` sums the counts by n-gram, goes down the orders by count joins and comes back up with probabilities, for
+   every n-gram that any block asks for. All these tables are sharded by n-gram; ten figures of each order reach the driver.
+4. `scores` joins the questions with the answers, packs them by block and adds up each document's log probabilities in
+   its block. A trusted text is scored by the fold that it is not in, any other by the mean of both, so no text is judged
+   by counts that it took part in. Answers are single-precision logarithms.
+
+With one fold empty (hardly any trusted text) both models learn from all of it. A block asks once for an n-gram, so a
+common n-gram is one row a block, not one a document. Texts above CHUNK characters are worked off in chunks that overlap
+by ORDER - 1 symbols. Building the plan runs jobs; the intermediate tables are dropped when nothing needs them.
 """
 
 from __future__ import annotations
@@ -19,71 +24,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import shared_table, slices, small_batches
+from statloom.llm.common import SLICE_BYTES, bucketed_table, drop_tables, shared_table, slices, small_batches
 
 ORDER, BITS = 5, 21
 #: Code points start at SHIFT; 1 is the border.
 SHIFT, BORDER = 2, 1
 #: Characters of a block of texts; a longer text is a block of its own.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 48_000_000
+#: Characters that are in work at once.
+CHUNK = 4_000_000
+#: Rows of n-grams that a worker holds before it merges or packs them.
+HELD_ROWS = 2_000_000
 MASK = (1 << BITS) - 1
+LEVEL = 6
 
 
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of all texts, each after its borders, and the characters of each text)."""
-    pad = np.full(ORDER - 1, BORDER, np.int64)
-    parts, sizes = [np.empty(0, np.int64)], []
-    for t in texts:
-        points = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4")
-        sizes.append(len(points))
-        parts += [pad, points.astype(np.int64) + SHIFT]
-    return np.concatenate(parts), np.array(sizes, np.int64)
-
-
-def _unique(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and the place of each code among them."""
-    found = pa.array(codes).dictionary_encode()
-    return found.dictionary.to_numpy(), found.indices.to_numpy()
+def fold_of(doc_id) -> int:
+    return xxhash.xxh3_64_intdigest(str(doc_id).encode()) & 1
 
 
 class Grams:
-    """Distinct n-grams of each order of some texts, and which of them each character ends."""
-
-    def __init__(self, texts: list[str | None]):
-        flat, self.sizes = symbols(texts)
-        # Places of characters, borders left out.
-        ends = np.cumsum(self.sizes + ORDER - 1)
-        self.at = np.arange(int(self.sizes.sum())) + np.repeat(ends - np.cumsum(self.sizes), self.sizes)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        alphabet, place = _unique(flat)
-        #: of each order: (first position of each distinct n-gram, distinct n-gram that ends at each position)
-        self.first, self.inverse = [], []
-        # Symbols before the first text count as borders; the border is the first symbol, so its n-grams are number 0.
-        grown, n = place.astype(np.int64), len(alphabet)
-        self.flat = flat
-        for k in range(1, ORDER + 1):
-            if k > 1:  # a k-gram is the (k-1)-gram before and a symbol: exact, whatever the alphabet
-                longer = np.zeros(len(flat), np.int64)
-                longer[1:] = grown[:-1] * n + place[1:]
-                grown = _unique(longer)[1].astype(np.int64)
-            first = np.full(int(grown.max()) + 1 if len(grown) else 0, -1, np.int64)
-            first[grown[::-1]] = np.arange(len(grown))[::-1]
-            self.first.append(first)
-            self.inverse.append(grown.astype(np.int32))
-
-    def keys(self, k: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hi, lo) of the n-grams of k symbols that end at the given positions."""
-        hi, lo = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-        for j in range(k):
-            s = self.flat[np.maximum(which - j, 0)]
+    """Distinct n-grams of ORDER symbols of some texts, and which of them each character ends."""
+
+    def __init__(self, units: list[tuple[int, np.ndarray]]):
+        """units: (document, symbols with the ORDER - 1 before them)."""
+        self.flat = np.concatenate([u for _, u in units])
+        sizes = np.array([len(u) - ORDER + 1 for _, u in units], np.int64)
+        ends = np.cumsum(sizes + ORDER - 1)
+        self.at = np.arange(int(sizes.sum())) + np.repeat(ends - np.cumsum(sizes), sizes)
+        self.doc = np.repeat(np.array([d for d, _ in units], np.int64), sizes)
+        alphabet = pa.array(self.flat).dictionary_encode()
+        place = alphabet.indices.to_numpy().astype(np.int64)
+        bits = max(1, (len(alphabet.dictionary) - 1).bit_length())
+        code, width = place.copy(), bits
+        for j in range(1, ORDER):
+            if width + bits > 63:  # a large alphabet: number the distinct shorter n-grams first
+                shorter = pa.array(code).dictionary_encode()
+                code = shorter.indices.to_numpy().astype(np.int64)
+                width = max(1, (len(shorter.dictionary) - 1).bit_length())
+            code[j:] |= place[:-j] << width
+            width += bits
+        found = pa.array(code[self.at]).dictionary_encode()
+        self.ids, self.n = found.indices.to_numpy(), len(found.dictionary)
+        first = np.zeros(self.n, np.int64)
+        first[self.ids[::-1]] = self.at[::-1]
+        self.hi, self.lo = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        for j in range(ORDER):
+            s = self.flat[first - j].astype(np.int64)
             if j < 3:
-                lo |= s << (BITS * j)
+                self.lo |= s << (BITS * j)
             else:
-                hi |= s << (BITS * (j - 3))
-        return hi, lo
+                self.hi |= s << (BITS * (j - 3))
+
+
+def in_work(texts: list[str | None], most: int) -> Iterator[Grams]:
+    """The n-grams of texts by number, about `most` characters at once."""
+    pad = np.full(ORDER - 1, BORDER, np.uint32)
+    units, held = [], 0
+    for d, text in enumerate(texts):
+        if not text:
+            continue
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(SHIFT)
+        points = np.concatenate([pad, points])
+        for start in range(0, len(points) - ORDER + 1, most):
+            unit = points[start : start + most + ORDER - 1]
+            if held + len(unit) > most + ORDER and units:
+                yield Grams(units)
+                units, held = [], 0
+            units.append((d, unit))
+            held += len(unit)
+    if units:
+        yield Grams(units)
 
 
 def _suffix(k: int):
@@ -100,140 +117,246 @@ def _context():
     return F.shiftright(hi, BITS), F.shiftright(lo, BITS).bitwiseOR(F.shiftleft(hi.bitwiseAND(F.lit(MASK)), 2 * BITS))
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(hi, lo, c): counts of all n-grams of ORDER symbols of the one text column."""
-    small_batches(texts.sparkSession)
+def blocks(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """block, seq, payload, ids: rows of any columns as compressed batches, bucketed by block."""
+    small_batches(rows.sparkSession)
+    text = rows.columns.index(text_col)
+    ids = rows.columns.index(id_col)
+    kind = rows.schema[ids].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))
+        part, block, seq, held = TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
-            for part in slices(batch, 0):
-                grams = Grams(part.column(0).to_pylist())
-                ids = grams.inverse[-1][grams.at]
-                c = np.bincount(ids, minlength=len(grams.first[-1]))
-                seen = np.flatnonzero(c)
-                # The first position of an n-gram that ends at a character need not be one: take any that is.
-                where = np.zeros(len(c), np.int64)
-                where[ids] = grams.at
-                hi, lo = grams.keys(ORDER, where[seen])
-                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(c[seen].astype(np.int64))], names=["hi", "lo", "c"])
-
-    return texts.mapInArrow(count, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
-
-
-def nodes(counts: DataFrame) -> DataFrame:
-    """(hi, lo, p, left): p of each seen n-gram of 1 to ORDER symbols, left of each seen context (also the empty one)."""
-    orders = {ORDER: shared_table(counts.withColumn("m", F.col("c")), "ngrams")}
+            for piece in slices(batch, text, SLICE_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=options) as out:
+                    out.write_batch(piece)
+                col = piece.column(ids)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + block]), pa.array([seq], pa.int32()), pa.array([sink.getvalue().to_pybytes()]), listed], names=["block", "seq", "payload", "ids"])
+                seq += 1
+                held += sum(len(t) for t in piece.column(text).to_pylist() if t) + len(piece)
+                if held >= BLOCK_CHARS:
+                    block, seq, held = block + 1, 0, 0
+
+    packed = rows.mapInArrow(pack, f"block long, seq int, payload binary, ids array<{kind}>")
+    return bucketed_table(packed, "blocks", "block")
+
+
+def unpacked(held: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(seq, rows) of a block, one batch at a time."""
+    for i in np.argsort(held.column("seq").to_numpy()):
+        payload = held.column("payload")[int(i)].as_buffer()
+        yield held.column("seq")[int(i)].as_py(), pa.ipc.open_stream(payload).read_next_batch()
+
+
+def trusted_places(held: DataFrame, trusted: DataFrame) -> DataFrame:
+    """block, seq, pos of the rows whose id is in `trusted` (one column)."""
+    each = held.select("block", "seq", F.posexplode("ids").alias("pos", "id"))
+    return shared_table(each.join(trusted.toDF("id"), "id", "left_semi").select("block", "seq", "pos"), "trusted")
+
+
+def _good(table: pa.Table) -> dict[int, np.ndarray]:
+    """Positions by seq of the rows that have both."""
+    seq, pos = (np.array(table.column(c).to_pylist()) for c in ("seq", "pos"))
+    return {int(s): pos[seq == s].astype(np.int64) for s in set(seq.tolist())}
+
+
+def questions(held: DataFrame, good: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
+    """block, hi, lo, c0, c1: distinct n-grams of each block, and their counts in trusted texts of either fold."""
+    text, ids = columns.index(text_col), columns.index(id_col)
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        both = pa.concat_tables(parts).group_by(["hi", "lo"], use_threads=False).aggregate([("c0", "sum"), ("c1", "sum")])
+        return pa.table([both.column(c) for c in ("hi", "lo", "c0_sum", "c1_sum")], names=["hi", "lo", "c0", "c1"])
+
+    def count(key: tuple, block: pa.Table, flags: pa.Table) -> pa.Table:
+        places, parts = _good(flags), []
+        for seq, batch in unpacked(block):
+            fold = np.full(batch.num_rows, -1)
+            for i in places.get(seq, ()):
+                fold[i] = fold_of(batch.column(ids)[int(i)].as_py())
+            for grams in in_work(batch.column(text).to_pylist(), CHUNK):
+                mine = fold[grams.doc]
+                c = [pa.array(np.bincount(grams.ids[mine == f], minlength=grams.n)) for f in (0, 1)]
+                parts.append(pa.table([pa.array(grams.hi), pa.array(grams.lo), *c], names=["hi", "lo", "c0", "c1"]))
+                if sum(len(p) for p in parts) > HELD_ROWS:
+                    parts = [merged(parts)]
+        if not parts:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("block", "hi", "lo", "c0", "c1")})
+        out = merged(parts).sort_by([("hi", "ascending"), ("lo", "ascending")])
+        return out.add_column(0, "block", pa.array(np.full(len(out), key[0].as_py())))
+
+    both = held.select("block", "seq", "payload").groupBy("block").cogroup(good.groupBy("block"))
+    return bucketed_table(both.applyInArrow(count, "block long, hi long, lo long, c0 long, c1 long"), "questions", "hi", "lo", shuffle=True)
+
+
+def _cuts(found: list[int]) -> list[float]:
+    n = [max(1, x) for x in found]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """hi, lo, l0, l1: log probability of the last symbol of each n-gram asked for, by either fold's model."""
+    spare = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        spare.append(shared_table(df, "ngrams"))
+        return spare[-1]
+
+    top = kept(asked.groupBy("hi", "lo").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    whole = top.agg(F.sum("c0"), F.sum("c1")).first()
+    if not (whole[0] and whole[1]):  # one fold has no text
+        top = top.withColumns({"c0": F.col("c0") + F.col("c1"), "c1": F.col("c0") + F.col("c1")})
+    orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
         hi, lo = _suffix(k)
-        orders[k] = shared_table(orders[k + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("c"), F.sum("m").alias("m")), "ngrams")
-    lower, parts = None, []
+        orders[k] = kept(orders[k + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("c0", "c1"))))
+    lower = None
     for k in range(1, ORDER + 1):
         grams = orders[k]
-        few = grams.agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)), F.count("*").alias("all")).first()
-        n = [max(1, x) for x in few[:4]]
-        y = n[0] / (n[0] + 2 * n[1])
-        cut = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
-        less = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
+        few = grams.agg(*(F.count_if(F.col(c) == i) for c in ("c0", "c1") for i in range(1, 5)), *(F.count_if(F.col(c) > 0) for c in ("c0", "c1"))).first()
         hi, lo = _context()
-        grams = grams.withColumn("chi", hi).withColumn("clo", lo).withColumn("less", less)
-        contexts = grams.groupBy("chi", "clo").agg(F.sum("c").alias("total"), (F.sum("less") / F.sum("c")).alias("left"), F.sum("m").alias("cm"))
-        joined = grams.join(contexts, ["chi", "clo"])
+        grams = grams.withColumns({"chi": hi, "clo": lo})
+        for f in (0, 1):
+            cut, c = _cuts(list(few[4 * f : 4 * f + 4])), F.col(f"c{f}")
+            grams = grams.withColumn(f"less{f}", F.when(c == 0, 0.0).when(c == 1, cut[0]).when(c == 2, cut[1]).otherwise(cut[2]))
+        sums = [F.sum(f"{x}{f}").alias(f"{y}{f}") for f in (0, 1) for x, y in (("c", "total"), ("less", "left"))]
+        joined = grams.join(grams.groupBy("chi", "clo").agg(*sums), ["chi", "clo"])
         if lower is None:
             # All symbols that no trusted text holds are one symbol more.
-            joined = joined.withColumn("below", F.lit(1 / (few["all"] + 1)))
-            base = few["all"] + 1
+            joined = joined.withColumns({f"p{f}": F.lit(1 / (few[8 + f] + 1)) for f in (0, 1)})
         else:
             hi, lo = _suffix(k - 1)
-            joined = joined.withColumn("thi", hi).withColumn("tlo", lo)
-            joined = joined.join(lower.select(F.col("hi").alias("thi"), F.col("lo").alias("tlo"), F.col("p").alias("below")), ["thi", "tlo"])
-        lower = shared_table(joined.select("hi", "lo", "m", ((F.col("c") - F.col("less")) / F.col("total") + F.col("left") * F.col("below")).alias("p")), "probabilities")
-        parts += [lower, contexts.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), "left", "cm")]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part, allowMissingColumns=True)
-    # The empty context carries the probability of an unseen symbol's share.
-    every = every.groupBy("hi", "lo").agg(*(F.max(c).alias(c) for c in ("p", "m", "left", "cm")))
-    empty = (F.col("hi") == 0) & (F.col("lo") == 0)
-    return shared_table(every.withColumn("p", F.when(empty, 1 / base).otherwise(F.col("p"))), "nodes")
-
-
-def blocks(rows: DataFrame, text: str) -> DataFrame:
-    """rows with a block number and a place, written once."""
-    small_batches(rows.sparkSession)
-
-    @F.arrow_udf("int")
-    def chunk(sizes: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held = 0
-        for batch in sizes:
-            total = held + np.cumsum(batch.to_numpy(zero_copy_only=False).astype(np.int64))
-            held = int(total[-1]) if len(total) else held
-            yield pa.array((total // BLOCK_CHARS).astype(np.int32))
-
-    size = F.coalesce(F.length(text), F.lit(0)).cast("long") + ORDER
-    place = F.monotonically_increasing_id()
-    return shared_table(rows.withColumn("part", F.spark_partition_id()).withColumn("chunk", chunk(size)).withColumn("place", place), "blocks")
-
-
-def scores(held: DataFrame, model: DataFrame, text: str) -> DataFrame:
-    """(place, chars, log_ppl, fresh) of each row of `blocks` (with a column good: the model was counted on it): characters, minus the mean log probability (null without
-    text), and the share of characters that end an n-gram not seen before in the text."""
-    texts = held.select("part", "chunk", "place", "good", F.col(text).alias("text"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text").to_pylist())
-        out: list[tuple] = []
-        for k in range(1, ORDER + 1):
-            first = grams.first[k - 1]
-            out.append((np.full(len(first), k), first, *grams.keys(k, first)))
-        order, first, hi, lo = (np.concatenate([o[i] for o in out]) for i in range(4))
-        part, chunk = (table.column(c)[0].as_py() for c in ("part", "chunk"))
-        n = len(order)
-        return pa.table({"part": pa.array(np.full(n, part, np.int32)), "chunk": pa.array(np.full(n, chunk, np.int32)), "k": pa.array(order.astype(np.int32)), "at": pa.array(first.astype(np.int32)), "hi": pa.array(hi), "lo": pa.array(lo)})
-
-    ordered = lambda t: t.sort_by("place")
-    asked = texts.groupBy("part", "chunk").applyInArrow(lambda t: ask(ordered(t)), "part int, chunk int, k int, at int, hi long, lo long")
-    answers = asked.join(model, ["hi", "lo"]).select("part", "chunk", "k", "at", "p", "m", "left", "cm")
-    root = model.where((F.col("hi") == 0) & (F.col("lo") == 0)).select("p", "left").first() or (1.0, 1.0)
-    base, spare = root[0] or 1.0, root[1] or 1.0
-
-    def alone(doc: np.ndarray, ids: np.ndarray, every: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """Which of the counted characters have an n-gram (or context) with no occurrence outside their document."""
-        mine = ids[counted].astype(np.int64)
-        _, pair = _unique(doc[counted] * len(every) + mine)
-        return np.bincount(pair)[pair] >= every[mine] if len(mine) else np.zeros(0, bool)
-
-    def score(table: pa.Table, told: pa.Table) -> pa.Table:
-        table = ordered(table)
-        grams = Grams(table.column("text").to_pylist())
-        at, doc, sizes = grams.at, grams.doc, grams.sizes
-        k_of, where = told.column("k").to_numpy(), told.column("at").to_numpy()
-        p_of, m_of, left_of, cm_of = (np.asarray(told.column(c).to_numpy(), np.float64) for c in ("p", "m", "left", "cm"))
-        counted = np.flatnonzero(table.column("good").to_numpy()[doc])
-        below, left = np.full(len(at), base * spare), None
-        for k in range(1, ORDER + 1):
-            mine = k_of == k
-            ids, size = grams.inverse[k - 1], len(grams.first[k - 1])
-            p, m, node_left, cm = (np.full(size, np.nan) for _ in range(4))
-            to = ids[where[mine]]
-            p[to], m[to], node_left[to], cm[to] = p_of[mine], m_of[mine], left_of[mine], cm_of[mine]
-            own = p[ids[at]]
-            own[counted[alone(doc, ids[at], m, counted)]] = np.nan
-            if left is not None:
-                below = below * left
-            below = np.where(np.isnan(own), below, own)
-            # What the k symbols before a character leave, for the next order.
-            left = node_left[ids[at - 1]] if k < ORDER else None
-            if left is not None:
-                left[counted[alone(doc, ids[at - 1], cm, counted)]] = np.nan
-                left = np.where(np.isnan(left), 1.0, left)
-        full = sizes > 0
-        mean, fresh = np.full(len(sizes), np.nan), np.full(len(sizes), np.nan)
-        mean[full] = np.bincount(doc, np.log(below), len(sizes))[full] / sizes[full]
-        ids = grams.inverse[-1][at].astype(np.int64)
-        pairs = _unique(doc * (len(grams.first[-1]) + 1) + ids)[0]
-        distinct = np.bincount(pairs // (len(grams.first[-1]) + 1), minlength=len(sizes))
-        fresh[full] = distinct[full] / sizes[full]
-        return pa.table({"place": table.column("place"), "chars": pa.array(sizes), "log_ppl": pa.array(-mean, from_pandas=True), "fresh": pa.array(fresh, from_pandas=True)})
-
-    both = texts.groupBy("part", "chunk").cogroup(answers.groupBy("part", "chunk"))
-    return both.applyInArrow(score, "place long, chars long, log_ppl double, fresh double")
+            joined = joined.withColumns({"thi": hi, "tlo": lo}).join(lower, ["thi", "tlo"])
+        p = []
+        for f in (0, 1):
+            seen = (F.col(f"c{f}") - F.col(f"less{f}") + F.col(f"left{f}") * F.col(f"p{f}")) / F.col(f"total{f}")
+            p.append(F.when(F.col(f"total{f}") > 0, seen).otherwise(F.col(f"p{f}")).alias(f"p{f}"))
+        lower = kept(joined.select(F.col("hi").alias("thi"), F.col("lo").alias("tlo"), *p))
+    out = shared_table(lower.select(F.col("thi").alias("hi"), F.col("tlo").alias("lo"), *(F.ln(f"p{f}").cast("float").alias(f"l{f}") for f in (0, 1))), "answers")
+    drop_tables(spare)
+    return out
+
+
+def _told(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """block, packed: the answers of each block, packed by each task before they are dealt by block."""
+
+    def packing(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("block", "hi", "lo")])
+        block = rows.column("block").to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        for start, end in zip(new.tolist(), [*new[1:].tolist(), len(block)], strict=True):
+            hi, lo = (np.diff(rows.column(c).to_numpy()[start:end], prepend=0) for c in ("hi", "lo"))
+            logs = [rows.column(c).to_numpy()[start:end].astype(np.float32) for c in ("l0", "l1")]
+            raw = b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (hi, lo, *logs))
+            packed = pa.compress(raw, codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[start])]), pa.array([end - start]), pa.array([packed])], names=["block", "n", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield from packing(held)
+                held, n = [], 0
+        if n:
+            yield from packing(held)
+
+    joined = asked.select("block", "hi", "lo").join(known, ["hi", "lo"]).select("block", "hi", "lo", "l0", "l1")
+    return joined.mapInArrow(run, "block long, n long, packed binary")
+
+
+class Answers:
+    """Log probabilities of a block's n-grams."""
+
+    def __init__(self, told: pa.Table):
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for n, packed in zip(told.column("n").to_pylist(), told.column("packed").to_pylist(), strict=True):
+            raw = np.frombuffer(pa.decompress(packed, decompressed_size=24 * n, codec="zstd"), np.uint8)
+            for j, (size, kind) in enumerate(((8, np.int64), (8, np.int64), (4, np.float32), (4, np.float32))):
+                of, raw = raw[: size * n], raw[size * n :]
+                x = np.ascontiguousarray(of.reshape(size, n).T).view(kind).ravel()
+                parts[j].append(np.cumsum(x) if j < 2 else x.astype(np.float64))
+        hi, lo, l0, l1 = (np.concatenate(p) if p else np.empty(0) for p in parts)
+        self.high, self.low = np.unique(hi), np.unique(lo)
+        key = self._key(hi, lo)
+        order = np.argsort(key)
+        self.keys, self.logs = key[order], np.stack([l0, l1])[:, order]
+
+    def _key(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.high, hi) * len(self.low) + np.searchsorted(self.low, lo)
+
+    def places(self, grams: Grams) -> np.ndarray:
+        """Where each distinct n-gram is; all have been asked for."""
+        return np.searchsorted(self.keys, self._key(grams.hi, grams.lo))
+
+
+def scores(held: DataFrame, asked: DataFrame, known: DataFrame, good: DataFrame, id_col: str, text_col: str, lang_col: str, columns: list[str], schema: str) -> DataFrame:
+    """block, seq, pos, doc_id, l, good, chars, log_ppl, fresh of each row: characters, minus the mean log probability
+    (null without text), and the share of characters that end an n-gram not seen before in the text.
+
+    schema: type of the ids.
+    """
+    text, ids, lang = (columns.index(c) for c in (text_col, id_col, lang_col))
+
+    def score(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
+        flagged = told.column("packed").is_null()
+        places = _good(told.filter(flagged))
+        known = Answers(told.filter(pc.invert(flagged)))
+        out = []
+        for seq, batch in unpacked(block):
+            n = batch.num_rows
+            fold = np.full(n, -1)
+            for i in places.get(seq, ()):
+                fold[i] = fold_of(batch.column(ids)[int(i)].as_py())
+            # A trusted text of fold f is scored by the other fold's model.
+            share = np.where(fold == -1, 0.5, fold).astype(np.float64)
+            total, sizes, pairs = np.zeros(n), np.zeros(n, np.int64), []
+            for grams in in_work(batch.column(text).to_pylist(), CHUNK):
+                at = known.places(grams)
+                l0, l1 = (known.logs[f][at][grams.ids] for f in (0, 1))
+                w = share[grams.doc]
+                total += np.bincount(grams.doc, l0 * w + l1 * (1 - w), n)
+                sizes += np.bincount(grams.doc, minlength=n)
+                pairs.append(pa.array(grams.doc * len(known.keys) + at[grams.ids]).unique().to_numpy())
+            distinct = np.bincount((pa.array(np.concatenate(pairs)).unique().to_numpy() if len(pairs) > 1 else pairs[0]) // len(known.keys), minlength=n) if pairs else np.zeros(n)
+            with np.errstate(invalid="ignore"):
+                ppl, fresh = -total / sizes, distinct / sizes
+            out.append(
+                pa.table(
+                    {
+                        "block": pa.array(np.full(n, key[0].as_py())),
+                        "seq": pa.array(np.full(n, seq, np.int32)),
+                        "pos": pa.array(np.arange(n, dtype=np.int32)),
+                        "doc_id": batch.column(ids),
+                        "l": pc.fill_null(batch.column(lang), ""),
+                        "good": pa.array(fold >= 0),
+                        "chars": pa.array(sizes),
+                        "log_ppl": pa.array(np.where(sizes > 0, ppl, np.nan), from_pandas=True),
+                        "fresh": pa.array(np.where(sizes > 0, fresh, np.nan), from_pandas=True),
+                    }
+                )
+            )
+        return pa.concat_tables(out)
+
+    told = _told(asked, known).select("block", "n", "packed", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("int").alias("pos"))
+    told = told.unionByName(good.select("block", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("packed"), "seq", "pos"))
+    both = held.select("block", "seq", "payload").groupBy("block").cogroup(told.groupBy("block"))
+    return both.applyInArrow(score, f"block long, seq int, pos int, doc_id {schema}, l string, good boolean, chars long, log_ppl double, fresh double")
+
+
+def rows_at(held: DataFrame, places: DataFrame, schema) -> DataFrame:
+    """The original rows at (block, seq, pos), of the given schema."""
+
+    def take(block: pa.Table, kept: pa.Table) -> pa.Table:
+        wanted, out = _good(kept), []
+        for seq, batch in unpacked(block):
+            out.append(pa.Table.from_batches([batch]).take(pa.array(np.sort(wanted.get(seq, np.empty(0, np.int64))))))
+        return pa.concat_tables(out)
+
+    both = held.select("block", "seq", "payload").groupBy("block").cogroup(places.groupBy("block"))
+    return both.applyInArrow(take, schema)

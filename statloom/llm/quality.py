@@ -2,8 +2,8 @@
 
 Counts cover all trusted documents and the model grows with them: `ngram_model` keeps n-grams of real characters in
 tables sharded by n-gram and scores documents by joining their n-grams with these. A document's perplexity is the
-exponential of minus its mean log probability per character, over its whole text. The model of character classes below
-(`ngrams` to `Perplexity`) is not used by the operator.
+exponential of minus its mean log probability per character, over its whole text; trusted documents are scored by the
+half of the trusted text that they are not in.
 
 A document is rejected if its log perplexity lies outside limits of its language and length band (powers of two of the
 number of characters): the median of trusted documents there, minus `stretch` times the distance from the lower
@@ -13,145 +13,24 @@ to the document, which has a lower limit of the same kind. Every cell has limits
 figures of a cell with n trusted documents are weighted n to `least` with those of its language over all bands, and these
 likewise with those of all languages together, so they move from the pooled to the own figures without a switch.
 
-Defined results: a null or empty text has null perplexity and is rejected; a null language is a language of its own;
-labels that repeat count once, labels without a document count nothing; without trusted text every other document is
-kept; an empty table gives no rows; further columns are ignored by `classify` and carried along by `accepted_rows`.
+Defined results: a null or empty text has null perplexity and is rejected; a null language is a language of its own, equal
+to the empty one; labels that repeat count once, labels without a document count nothing; rows that repeat an id or a text
+are judged each; without trusted text every other document is kept; very long texts are worked off in chunks, whole; an
+empty table gives no rows; further columns are ignored by `classify` and carried along by `accepted_rows`.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm import ngram_model
-from statloom.llm.common import shared_table, slices, small_batches
+from statloom.llm.common import drop_tables, shared_table
 
-SYMBOLS, ORDER = 40, 4
 QUANTILES = (0.05, 0.5, 0.95)
 #: Bins of log perplexity to 1.
 BINS = 1000
 
-_classes: list[np.ndarray] = []
-
-
-def _class_of(c: str) -> int:
-    """0 border, 1 blank, 2 line end, 3 digit, 4-29 a-z, 30-33 other letters, 34-35 capitals, 36-37 common and 38-39 other marks."""
-    if c in "\n\r\x0b\x0c\u2028\u2029":
-        return 2
-    if c.isspace():
-        return 1
-    kind = unicodedata.category(c)
-    if "a" <= c <= "z":
-        return 4 + ord(c) - ord("a")
-    if kind[0] == "N":
-        return 3
-    if kind in ("Lu", "Lt"):
-        return 34 + ord(c) % 2
-    if kind[0] in "LM":
-        return 30 + ord(c) % 4
-    return 36 if c in ".," else 37 if c in "'\"()-;:?" else 38 + ord(c) % 2
-
-
-def class_table() -> np.ndarray:
-    """Classes of the basic plane; other characters are looked up modulo its size in `symbols`."""
-    if not _classes:
-        _classes.append(np.array([_class_of(chr(i)) if not 0xD800 <= i < 0xE000 else 39 for i in range(0x10000)], np.int32))
-    return _classes[0]
-
-
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram numbers of all characters of all texts, characters of each text). A text starts after border symbols."""
-    table, pad = class_table(), np.zeros(ORDER - 1, np.int32)
-    parts, sizes = [], []
-    for t in texts:
-        points = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4")
-        sizes.append(len(points))
-        parts += [pad, np.where(points < 0x10000, table[points & 0xFFFF], 39)]
-    flat = np.concatenate([*parts, pad]).astype(np.int32, copy=False)
-    code = flat[: len(flat) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        code *= SYMBOLS
-        code += flat[k : len(flat) - ORDER + 1 + k]
-    sizes = np.array(sizes, np.int64)
-    inside = np.ones(len(code), bool)
-    ends = np.cumsum(sizes + ORDER - 1)
-    for k in range(1, ORDER):
-        inside[np.minimum(ends - k, len(code) - 1)] = False
-    if len(code) > ends[-1]:
-        inside[ends[-1] :] = False
-    return code[inside], sizes
-
-
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(g, c): counts of all n-grams of the one text column."""
-    small_batches(texts.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for batch in batches:
-            for part in slices(batch, 0):
-                codes, _ = ngrams(part.column(0).to_pylist())
-                total += np.bincount(codes, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["g", "c"])
-
-    return texts.mapInArrow(count, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """Log probabilities of all SYMBOLS ** ORDER n-grams from (g, c), by joins of sharded counts."""
-    by_order = {ORDER: shared_table(counts, "ngrams")}
-    for k in range(ORDER - 1, 0, -1):
-        by_order[k] = by_order[k + 1].groupBy((F.col("g") % SYMBOLS**k).alias("g")).agg(F.count("*").alias("c"))
-    lower = None
-    dense = np.full(1, 1 / SYMBOLS)
-    for k in range(1, ORDER + 1):
-        grams = by_order[k]
-        few = grams.agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5))).first()
-        n = [max(1, x) for x in few]
-        y = n[0] / (n[0] + 2 * n[1])
-        cut = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
-        less = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
-        grams = grams.withColumn("ctx", F.floor(F.col("g") / SYMBOLS).cast("int")).withColumn("less", less)
-        contexts = grams.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("less") / F.sum("c")).alias("left"))
-        joined = grams.join(contexts, "ctx")
-        if lower is None:
-            joined = joined.withColumn("below", F.lit(1 / SYMBOLS))
-        else:
-            joined = joined.withColumn("tail", (F.col("g") % SYMBOLS ** (k - 1)).cast("int"))
-            joined = joined.join(lower.select(F.col("g").alias("tail"), F.col("p").alias("below")), "tail")
-        lower = joined.select(F.col("g").cast("int").alias("g"), F.col("ctx"), ((F.col("c") - F.col("less")) / F.col("total") + F.col("left") * F.col("below")).alias("p"), "left")
-        lower = shared_table(lower, "probabilities")
-        # At most SYMBOLS ** k rows: seen n-grams and what their contexts leave to unseen ones.
-        seen = lower.toArrow()
-        left = np.ones(SYMBOLS ** (k - 1))
-        left[seen.column("ctx").to_numpy()] = seen.column("left").to_numpy()
-        dense = np.repeat(left, SYMBOLS) * np.tile(dense, SYMBOLS)
-        dense[seen.column("g").to_numpy()] = seen.column("p").to_numpy()
-    return np.log(dense).astype(np.float32)
-
-
-class Perplexity:
-    """Scores texts with a dense table of log probabilities."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(characters, mean log probability or NaN) of each text."""
-        codes, sizes = ngrams(texts)
-        full = np.flatnonzero(sizes)
-        mean = np.full(len(sizes), np.nan)
-        if len(full):
-            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            mean[full] = np.add.reduceat(self.table[codes].astype(np.float64), starts) / sizes[full]
-        return sizes, mean
-
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
     return labels.where((F.col(quality_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted")).distinct()
@@ -172,15 +51,15 @@ def _spread(bins: DataFrame, by: list[str], name: str) -> DataFrame:
     return each.select(*by, F.struct("n", F.col("q1").alias("mid"), (F.col("q1") - F.col("q0")).alias("down"), (F.col("q2") - F.col("q1")).alias("up")).alias(name))
 
 
-def limits(scores: DataFrame, labels: DataFrame, stretch: float, least: int) -> DataFrame:
+def limits(scores: DataFrame, stretch: float, least: int) -> DataFrame:
     """(l, b, low, high, fresh_low): limits of log perplexity and log freshness for each language and band of the scores."""
-    fresh = _limits(scores, F.ln("fresh"), labels, stretch, least).select("l", "b", F.col("low").alias("fresh_low"))
-    return _limits(scores, F.col("log_ppl"), labels, stretch, least).join(fresh, ["l", "b"])
+    fresh = _limits(scores, F.ln("fresh"), stretch, least).select("l", "b", F.col("low").alias("fresh_low"))
+    return _limits(scores, F.col("log_ppl"), stretch, least).join(fresh, ["l", "b"])
 
 
-def _limits(scores: DataFrame, value, labels: DataFrame, stretch: float, least: int) -> DataFrame:
+def _limits(scores: DataFrame, value, stretch: float, least: int) -> DataFrame:
     known = scores.where(F.col("log_ppl").isNotNull())
-    good = known.join(trusted_ids(labels), F.col("doc_id") == F.col("trusted"))
+    good = known.where("good")
     bins = good.groupBy("l", "b", F.floor(value * BINS).alias("bin")).agg(F.count("*").alias("n"))
     # Languages times at most 64 bands: a small table whatever the corpus.
     cells = known.select("l", "b").distinct().join(_spread(bins, ["l", "b"], "band"), ["l", "b"], "left")
@@ -196,15 +75,17 @@ def _limits(scores: DataFrame, value, labels: DataFrame, stretch: float, least:
     return cells.select("l", "b", (pooled("mid") - stretch * pooled("down")).alias("low"), (pooled("mid") + stretch * pooled("up")).alias("high"))
 
 
-def _scored(rows: DataFrame, labels: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows by place, their place, doc_id, l, chars, log_ppl, fresh and b) of rows with doc_id and l."""
-    trusted = trusted_ids(labels).hint("shuffle_hash")
-    flagged = rows.join(trusted, F.col("doc_id") == F.col("trusted"), "left").withColumn("good", F.col("trusted").isNotNull()).drop("trusted")
-    held = ngram_model.blocks(flagged, text)
-    good = held.where("good").select(F.col(text).alias("text")).where(F.col("text").isNotNull())
-    model = ngram_model.nodes(ngram_model.count_ngrams(good))
-    found = held.select("place", "doc_id", "l").join(ngram_model.scores(held, model, text), "place")
-    return held, shared_table(found.withColumn("b", band(F.col("chars"))), "scores")
+def _scored(rows: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+    """(blocks of the rows, their block, seq, pos, doc_id, l, good, chars, log_ppl, fresh and b)."""
+    columns = rows.columns
+    held = ngram_model.blocks(rows, id_col, text_col)
+    good = ngram_model.trusted_places(held, trusted_ids(labels, id_col))
+    asked = ngram_model.questions(held, good, id_col, text_col, columns)
+    known = ngram_model.answers(asked)
+    found = ngram_model.scores(held, asked, known, good, id_col, text_col, lang_col, columns, rows.schema[id_col].dataType.simpleString())
+    found = shared_table(found.withColumn("b", band(F.col("chars"))), "scores")
+    drop_tables([good, asked, known])
+    return held, found
 
 
 def _verdict(log_ppl):
@@ -214,9 +95,9 @@ def _verdict(log_ppl):
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", stretch: float = 3.5, least: int = 50) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, low, high, fresh, fresh_low, kept for every row; low and high limit perplexity."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"))
-    _, scores = _scored(rows, labels, "text")
-    bounds = shared_table(limits(scores, labels, stretch, least), "limits")
+    held, scores = _scored(docs.select(id_col, text_col, F.col(lang_col).cast("string").alias(lang_col)), labels, id_col, text_col, lang_col)
+    drop_tables([held])
+    bounds = shared_table(limits(scores, stretch, least), "limits")
     out = scores.join(bounds, ["l", "b"], "left")
     return out.select(
         "doc_id",
@@ -233,10 +114,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", stretch: float = 3.5, least: int = 50) -> DataFrame:
     """The rows that `classify` keeps, with all their columns."""
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    text = f"r.c{docs.columns.index(text_col)}"
-    rows = docs.select(row.alias("r"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"))
-    held, scores = _scored(rows, labels, text)
-    bounds = shared_table(limits(scores, labels, stretch, least), "limits")
-    kept = scores.join(bounds, ["l", "b"], "left").where(_verdict(F.col("log_ppl"))).select("place")
-    return held.join(kept, "place", "left_semi").select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    held, scores = _scored(docs, labels, id_col, text_col, lang_col)
+    bounds = shared_table(limits(scores, stretch, least), "limits")
+    kept = scores.join(bounds, ["l", "b"], "left").where(_verdict(F.col("log_ppl"))).select("block", "seq", "pos")
+    return ngram_model.rows_at(held, kept, docs.schema)

@@ -34,22 +34,63 @@ def brute(texts, order):
     return p
 
 
-def test_scores_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_model, "BLOCK_CHARS", 40)
-    learned = ["the cat sat on the mat", "the cat ate the rat", "a cat \U0001f600 \U0001f600", "ÄÖÜ äöü ÄÖ"]
-    asked = ["the cat", "", None, "zzz \U0001f601", "ÄÖÜ the the the", "x", "mat " * 30]
-    model = ngram_model.nodes(ngram_model.count_ngrams(spark.createDataFrame([(t,) for t in learned], "text string").repartition(2)))
-    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(asked)], "i int, text string, good boolean").repartition(2)
-    held = ngram_model.blocks(rows, "text")
-    got = {r.i: r for r in held.join(ngram_model.scores(held, model, "text"), "place").collect()}
-    p, o = brute(learned, ngram_model.ORDER), ngram_model.ORDER
-    assert len(got) == len(asked) and got[1].log_ppl is None and got[2].log_ppl is None
-    for i, t in enumerate(asked):
+@pytest.mark.parametrize("chunk", [4_000_000, 11])
+def test_scores_match_brute_force(spark, monkeypatch, chunk):
+    """Trusted texts are scored by the other fold's model, others by the mean of both; blocks and chunks change nothing."""
+    monkeypatch.setattr(ngram_model, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(ngram_model, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_model, "HELD_ROWS", 50)
+    monkeypatch.setattr(ngram_model, "SLICE_BYTES", 25)
+    learned = ["the cat sat on the mat", "the cat ate the rat", "a cat \U0001f600 \U0001f600", "ÄÖÜ äöü ÄÖ", "a rat sat", "the mat", "the cat sat on the mat"]
+    asked = ["the cat", "", None, "zzz \U0001f601", "ÄÖÜ the the the", "x", "mat " * 30, "".join(chr(0x4E00 + i) for i in range(400)), "\x00\x01 \x00"]
+    rows = list(enumerate(learned)) + [(100 + i, t) for i, t in enumerate(asked)] + [(None, "the cat")]
+    df = spark.createDataFrame([(i, t, None, "c") for i, t in rows], "doc_id long, text string, lang string, block string").repartition(2)
+    cols = df.columns
+    held = ngram_model.blocks(df, "doc_id", "text")
+    good = ngram_model.trusted_places(held, spark.createDataFrame([(i,) for i in [*range(len(learned)), 999]], "t long"))
+    questions = ngram_model.questions(held, good, "doc_id", "text", cols)
+    found = ngram_model.scores(held, questions, ngram_model.answers(questions), good, "doc_id", "text", "lang", cols, "bigint")
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(rows) and got[101].log_ppl is None and got[102].log_ppl is None
+    folds = [[t for i, t in enumerate(learned) if ngram_model.fold_of(i) == f] for f in (0, 1)]
+    assert all(folds)
+    p, o = [brute(texts, ngram_model.ORDER) for texts in folds], ngram_model.ORDER
+    for i, t in rows:
         if t:
             flat = [None] * (o - 1) + list(t)
             grams = [tuple(flat[j : j + o]) for j in range(len(t))]
-            assert got[i].chars == len(t) and got[i].log_ppl == pytest.approx(-sum(math.log(p(g)) for g in grams) / len(t), abs=1e-9)
+            by = [-sum(math.log(q(g)) for g in grams) / len(t) for q in p]
+            trusted = i is not None and i < 100
+            want = by[1 - ngram_model.fold_of(i)] if trusted else sum(by) / 2
+            assert got[i].chars == len(t) and got[i].good == trusted and got[i].log_ppl == pytest.approx(want, abs=2e-6)
             assert got[i].fresh == pytest.approx(len(set(grams)) / len(t))
+    parts = held.select("block", "seq").collect()
+    assert len({r.block for r in parts}) > 2 and any(r.seq for r in parts)
+
+
+def test_one_trusted_text_and_none(spark):
+    """With one fold empty both models learn from all; without trusted text every text is as likely."""
+    df = spark.createDataFrame([(1, "the cat sat", "en"), (2, "the cat", "en"), (3, "", "en")], "doc_id long, text string, lang string")
+    for ids in ([1], []):
+        held = ngram_model.blocks(df, "doc_id", "text")
+        good = ngram_model.trusted_places(held, spark.createDataFrame([(i,) for i in ids], "t long"))
+        questions = ngram_model.questions(held, good, "doc_id", "text", df.columns)
+        found = ngram_model.scores(held, questions, ngram_model.answers(questions), good, "doc_id", "text", "lang", df.columns, "bigint")
+        got = {r.doc_id: r.log_ppl for r in found.collect()}
+        want = brute(["the cat sat"], ngram_model.ORDER) if ids else lambda g: 1.0
+        grams = [tuple(([None] * 4 + list("the cat"))[j : j + 5]) for j in range(7)]
+        assert got[2] == pytest.approx(-sum(math.log(want(g)) for g in grams) / 7, abs=2e-6) and got[3] is None
+
+
+def test_rows_come_back_whole(spark):
+    """Kept rows keep all their columns, whatever their names and types."""
+    rows = [(i, f"text {i}" * i, "en", {"a": i}, [(i, None)], b"x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, block map<string,long>, seq array<struct<pos:long,payload:string>>, c0 binary")
+    held = ngram_model.blocks(df.repartition(3), "doc_id", "text")
+    kept = ngram_model.trusted_places(held, spark.createDataFrame([(i,) for i in range(0, 20, 3)], "t long"))
+    got = ngram_model.rows_at(held, kept, df.schema)
+    assert got.schema == df.schema
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in df.collect() if r.doc_id % 3 == 0)
 
 
 def test_other_scripts_are_told_apart(spark):

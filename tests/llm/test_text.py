@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,50 +99,6 @@ def test_gru_gradients():
             assert grads[k].reshape(-1)[at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
 
 
-def test_kneser_ney_against_brute_force(spark):
-    texts = ["the cat sat, the cat ran.", "a cat! THE CAT", "sat sat sat 12", ""]
-    codes, sizes = quality.ngrams(texts)
-    s, k = quality.SYMBOLS, quality.ORDER
-    table = quality.class_table()
-    want = []
-    for t in texts:
-        flat = [0] * (k - 1) + [int(table[ord(c)]) for c in t]
-        want += [tuple(flat[i : i + k]) for i in range(len(t))]
-    assert [tuple(c // s ** (k - 1 - j) % s for j in range(k)) for c in codes.tolist()] == want and sizes.tolist() == [len(t) for t in texts]
-
-    counts = {k: Counter(want)}
-    for o in range(k - 1, 0, -1):
-        counts[o] = Counter(g[1:] for g in counts[o + 1])
-    cuts = {}
-    for o in counts:
-        n = [max(1, sum(v == i for v in counts[o].values())) for i in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1])
-        cuts[o] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
-
-    def p(g):
-        o = len(g)
-        if not o:
-            return 1 / s
-        ctx = {h: c for h, c in counts[o].items() if h[:-1] == g[:-1]}
-        if not ctx:
-            return p(g[1:])
-        less = {h: cuts[o][min(c, 3) - 1] for h, c in ctx.items()}
-        total = sum(ctx.values())
-        own = (ctx[g] - less[g]) / total if g in ctx else 0.0
-        return own + sum(less.values()) / total * p(g[1:])
-
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    dense = quality.kneser_ney(quality.count_ngrams(df))
-    r = random.Random(0)
-    for g in [*set(want), *(tuple(r.randrange(s) for _ in range(k)) for _ in range(30))]:
-        at = sum(v * s ** (k - 1 - j) for j, v in enumerate(g))
-        assert dense[at] == pytest.approx(math.log(p(g)), abs=1e-5)
-    assert np.exp(dense.reshape(-1, s).astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4)
-    scorer = quality.Perplexity(dense)
-    n, mean = scorer.score(["cat", None, "the"])
-    assert n.tolist() == [3, 0, 3] and math.isnan(mean[1]) and mean[0] == pytest.approx(dense[quality.ngrams(["cat"])[0]].mean())
-
-
 def test_quality(spark):
     r = random.Random(2)
     rows = [(i, prose(r, "aa", r.randint(40, 120)), "aa") for i in range(300)]
