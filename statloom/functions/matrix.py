@@ -29,13 +29,14 @@ def column_matrix(table: Table, name: str) -> DataFrame:
 
 
 def dummies(table: Table, name: str, drop_first: bool = False) -> list[tuple[str, Column]]:
-    """(name[level], 0/1 column) for each frozen level."""
+    """(name[level], 0/1 column) for each frozen level; null where the value is null or no level."""
     if not table.is_categorical(name):
         raise VariableTypeMismatch(name, "categorical", table.dtype(name))
     levels = table.levels[name][1:] if drop_first else table.levels[name]
     if not levels:
         raise NumericalError("dummy variables", f"{name!r} has no level left")
-    return [(f"{name}[{v}]", F.when(F.col(f"`{name}`") == v, 1.0).otherwise(0.0)) for v in levels]
+    c = F.col(f"`{name}`")
+    return [(f"{name}[{v}]", F.when(c == v, 1.0).when(c.isin(table.levels[name]), 0.0)) for v in levels]
 
 
 def polynomial(column: Column, degree: int) -> list[Column]:
@@ -147,10 +148,21 @@ def check_finite(df: DataFrame) -> None:
         raise NumericalError("check_finite", f"column {df.columns[next(i for i, b in enumerate(bad) if b)]!r} holds NaN or infinity")
 
 
-def check_constant_columns(df: DataFrame, tolerance: float) -> list[int]:
-    """Positions of columns whose values all lie within tolerance of each other's bounds."""
-    low, high = column_mins(df), column_maxs(df)
-    return [i for i, (a, b) in enumerate(zip(low, high, strict=True)) if b - a <= tolerance]
+def check_constant_columns(df: DataFrame, tolerance: float, key: str | None = None) -> list[int]:
+    """Positions of columns whose values all lie within tolerance of the first one: first by the key, or as rows come.
+
+    NaN differs from nothing; null doesn't count; without rows no column is constant.
+    """
+    names = [c for c in df.columns if c != key]
+    if key is None:
+        first = df.first()
+    else:
+        first = df.orderBy(F.col(f"`{key}`")).select(*(F.col(f"`{c}`") for c in names)).first()
+    if first is None or not names:
+        return []
+    apart = [F.abs(F.col(f"`{c}`") - F.lit(v)) for c, v in zip(names, first, strict=True)]
+    far = df.agg(*(F.count_if(~F.isnan(a) & (a > tolerance)).alias(f"c{i}") for i, a in enumerate(apart))).first()
+    return [i for i, n in enumerate(far) if not n]
 
 
 def check_equal_lengths(*lengths: int) -> None:

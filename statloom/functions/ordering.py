@@ -1,50 +1,81 @@
 """Row positions and neighbours in key order without a global sort in one task.
 
-Numeric keys are cut into ranges at approximate quantiles. Each range is numbered by a window of its own and shifted by
-the number of rows before it, so a range, not the table, is the unit of work. Any other first key forms one range for
-each of its values.
+The order is cut into ranges at keys of a small random sample, whatever the types of the keys: a row's range is found by
+binary search over the cuts, on all keys together, so ties of the first key don't gather. Each range is numbered by a window
+of its own and shifted by the rows before it; range sizes are the only figures that reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BUCKET = "__bucket"
+#: Sampled keys to a range.
+SAMPLED = 50
 
+Keys = list[tuple[str, bool]]
 
-def bucketed(df: DataFrame, key: str, buckets: int | None = None, ascending: bool = True) -> DataFrame:
-    """df with BUCKET, which follows the order of the key; null keys come first (last if descending).
 
-    A numeric key is cut at approximate quantiles; any other key is its own bucket.
+def _order(keys: Keys) -> list[Column]:
+    return [F.col(f"`{c}`").asc() if up else F.col(f"`{c}`").desc() for c, up in keys]
+
+
+def _cuts(df: DataFrame, keys: Keys, n: int) -> list[Row]:
+    """At most n - 1 rows of the keys that cut the order into ranges."""
+    rows = df.count() if n > 1 else 0
+    if rows < 2:
+        return []
+    fields = [F.col(f"`{c}`").alias(f"k{i}") for i, (c, _) in enumerate(keys)]
+    drawn = df.select(*fields).sample(min(1.0, SAMPLED * n / rows), seed=1)
+    ranked = [(f"k{i}", up) for i, (_, up) in enumerate(keys)]
+    found = drawn.orderBy(*_order(ranked)).collect()
+    return found[len(found) // n :: max(1, len(found) // n)][: n - 1]
+
+
+def bucketed(df: DataFrame, key: str | Keys, buckets: int | None = None) -> DataFrame:
+    """df with BUCKET, the number of the row's range in the order of the key or the (column, ascending) pairs.
+
+    Nulls come first ascending and last descending, NaN the other way round.
     """
+    keys = [(key, True)] if isinstance(key, str) else key
     n = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    if not isinstance(df.schema[key].dataType, T.NumericType):
-        return df.withColumn(BUCKET, F.col(f"`{key}`"))
-    cuts = (df.select(F.percentile_approx(F.col(f"`{key}`"), [i / n for i in range(1, n)], 10 * n)).first()[0] or []) if n > 1 else []
-    at: Column = F.lit(0)
-    for c in sorted(set(cuts)):
-        at = at + F.coalesce((F.col(f"`{key}`") > F.lit(c)).cast("int"), F.lit(0))
-    return df.withColumn(BUCKET, at if ascending else -at)
+    cuts = _cuts(df, keys, n)
+    if not cuts:
+        return df.withColumn(BUCKET, F.lit(0))
+    kinds = [df.schema[c].dataType for c, _ in keys]
+    listed = F.array(*(F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(r, kinds, strict=True)))) for r in cuts))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
 
+    def reached(cut: Column) -> Column:
+        """The row comes after the cut, or at it."""
+        out = F.lit(True)
+        for i, (c, up) in reversed(list(enumerate(keys))):
+            mine, theirs = F.struct(F.col(f"`{c}`").alias("v")), F.struct(cut[f"k{i}"].alias("v"))
+            out = (mine > theirs if up else mine < theirs) | ((mine == theirs) & out)
+        return out
 
-def with_position(df: DataFrame, key: str | list[tuple[str, bool]], name: str, buckets: int | None = None) -> DataFrame:
-    """Adds name, the 0-based position (long) in the order of the key, or of (column, ascending) pairs."""
+    def step(at: Column, by: Column) -> Column:
+        to = at + by
+        return F.when(to > len(cuts), at).when(reached(F.element_at(listed, F.least(to, F.lit(len(cuts))))), to).otherwise(at)
+
+    return df.withColumn(BUCKET, F.aggregate(steps, F.lit(0), step))
+
+
+def with_position(df: DataFrame, key: str | Keys, name: str, buckets: int | None = None) -> DataFrame:
+    """Adds name, the 0-based position (long) in the order of the key, or of (column, ascending) pairs.
+
+    Sizes of the ranges are counted when the plan is built.
+    """
     keys = [(key, True)] if isinstance(key, str) else key
-    first, up = keys[0]
-    parts = bucketed(df, first, buckets, up)
-    numbered = isinstance(df.schema[first].dataType, T.NumericType)
-    bucket = F.col(BUCKET).asc() if up or numbered else F.col(BUCKET).desc()
-    sizes = parts.groupBy(BUCKET).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col(BUCKET).alias("__b"), before.alias("__start"))
-    if numbered:
-        starts = F.broadcast(starts)  # at most `buckets` rows
-    order = [F.col(f"`{c}`").asc() if a else F.col(f"`{c}`").desc() for c, a in keys]
-    inside = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*order)) - 1
-    joined = parts.withColumn(name, inside.cast("long")).join(starts, F.col(BUCKET).eqNullSafe(F.col("__b")))
-    return joined.withColumn(name, F.col(name) + F.col("__start")).drop(BUCKET, "__b", "__start")
+    parts = bucketed(df, keys, buckets)
+    sizes = dict(parts.groupBy(BUCKET).count().collect())
+    starts, before = [], 0
+    for b in range(max(sizes, default=0) + 1):
+        starts.append(F.lit(before).cast("long"))
+        before += sizes.get(b, 0)
+    inside = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*_order(keys))) - 1
+    return parts.withColumn(name, inside + F.element_at(F.array(*starts), F.col(BUCKET) + 1)).drop(BUCKET)
 
 
 def squared_steps(df: DataFrame, key: str, value: str) -> DataFrame:

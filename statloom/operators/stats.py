@@ -16,9 +16,9 @@ from statloom.operators.table import Table
 from statloom.schema import ColumnType, SeriesStats
 
 #: Rows up to which one aggregate finds exact quantiles; beyond it ranks are narrowed by passes over the data.
-ONE_PASS_ROWS = 2_000_000
-#: Rows among which the last step of narrowing picks a rank by sorting.
-RANK_ROWS = 200_000
+ONE_PASS_ROWS = 100_000
+#: Values left around a rank that the last aggregate sorts.
+RANK_ROWS = 50_000
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -52,48 +52,77 @@ def variance(column: Column, ddof: int) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: Column, qs: list[float], rows: int | None = None) -> list[float | None]:
-    """Exact quantiles of any number of rows.
+    """Exact quantiles of any number of rows, see `all_quantiles`."""
+    return all_quantiles(df, [value], qs, None if rows is None else [rows])[0]
+
+
+class _Rank:
+    """Where the value of a 0-based rank lies: among `inside` values from a to b, after `below` smaller ones."""
+
+    def __init__(self, column: int, rank: int, n: int):
+        self.column, self.rank = column, rank
+        self.a, self.b, self.below, self.inside = -math.inf, math.inf, 0, n
+
+    def between(self, v: Column) -> Column:
+        return F.when((v >= self.a) & (v <= self.b), v)
+
+    def narrow(self, low: float, high: float, counts: tuple[int, int, int, int]) -> None:
+        """By two values and how many values are under low, up to low, under high and up to high."""
+        under_low, to_low, under_high, to_high = counts
+        if self.rank < under_low:
+            self.b, self.inside = math.nextafter(low, -math.inf), under_low - self.below
+        elif self.rank < to_low:
+            self.a = self.b = low
+        elif self.rank < under_high:
+            self.a, self.b, self.below, self.inside = math.nextafter(low, math.inf), math.nextafter(high, -math.inf), to_low, under_high - to_low
+        elif self.rank < to_high:
+            self.a = self.b = high
+        else:
+            self.a, self.below, self.inside = math.nextafter(high, math.inf), to_high, self.below + self.inside - to_high
 
-    Beyond ONE_PASS_ROWS an approximate quantile brackets each wanted rank, and passes count what lies below the bracket
-    until what lies inside fits one aggregate.
-    """
-    data = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    n = data.count() if rows is None else rows
-    if not n:
-        return [None] * len(qs)
-    if n <= ONE_PASS_ROWS:
-        return list(data.agg(F.percentile("v", F.array(*map(F.lit, qs)))).first()[0])
-    out = []
-    for q in qs:
-        at = (n - 1) * q
-        low_rank, part = int(math.floor(at)), at - math.floor(at)
-        a = _ranked(data, low_rank, n)
-        b = _ranked(data, min(low_rank + 1, n - 1), n) if part else a
-        out.append(a + part * (b - a))
-    return out
 
+def all_quantiles(df: DataFrame, values: list[Column], qs: list[float], rows: list[int] | None = None, one_pass: int = ONE_PASS_ROWS, sorted_rows: int = RANK_ROWS) -> list[list[float | None]]:
+    """Exact quantiles of several columns (NaN left out by the caller), by passes that all columns share.
 
-def _ranked(data: DataFrame, rank: int, n: int) -> float:
-    """The value of a 0-based rank."""
-    low = high = None
-    below, inside = 0, n
-    while True:
-        kept = data if low is None else data.where((F.col("v") >= low) & (F.col("v") <= high))
-        if inside <= RANK_ROWS:
-            return kept.orderBy("v").offset(rank - below).first()[0]
-        share, eps = (rank - below) / inside, 2e-4
-        a, b = kept.agg(F.percentile_approx("v", [max(0.0, share - eps), min(1.0, share + eps)], 10_000)).first()[0]
-        less, within = kept.agg(F.count_if(F.col("v") < a), F.count_if((F.col("v") >= a) & (F.col("v") <= b))).first()
-        if not below + less <= rank < below + less + within:
-            low, high = (low, a) if rank < below + less else (b, high)
-            low = float("-inf") if low is None else low
-            high = float("inf") if high is None else high
-            less, within = data.agg(F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high))).first()
-            below, inside = less, within
-            continue
-        if a == b:
-            return a
-        low, high, below, inside = a, b, below + less, within
+    Up to `one_pass` rows one aggregate does. Beyond, each round asks for approximate quantiles a little to either side
+    of every wanted rank (one pass) and counts what lies below and between them (another), until what is left around a rank
+    (`sorted_rows`) can be sorted in the last pass: three passes up to some 10^7 rows, five up to some 10^10.
+    """
+    data = df.select(*(v.cast("double").alias(f"v{i}") for i, v in enumerate(values)))
+    v = [F.col(f"v{i}") for i in range(len(values))]
+    if rows is None:
+        rows = list(data.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(v))).first()) if v else []
+    out: list[list[float | None]] = [[None] * len(qs) for _ in v]
+    small = [i for i, n in enumerate(rows) if 0 < n <= one_pass]
+    if small:
+        found = data.agg(*(F.percentile(v[i], F.array(*map(F.lit, qs))).alias(f"p{i}") for i in small)).first()
+        for i, p in zip(small, found, strict=True):
+            out[i] = list(p)
+    wanted = {(i, k): (n - 1) * q for i, n in enumerate(rows) if n > one_pass for k, q in enumerate(qs)}
+    ranks = {(i, r): _Rank(i, r, rows[i]) for (i, _), at in wanted.items() for r in (math.floor(at), math.ceil(at))}
+    while wide := [r for r in ranks.values() if r.a < r.b and r.inside > sorted_rows]:
+        same: dict[tuple[int, float, float], list[_Rank]] = {}
+        for r in wide:
+            same.setdefault((r.column, r.a, r.b), []).append(r)
+        asked = []
+        for (i, *_), group in same.items():
+            shares = [s for r in group for at in [(r.rank - r.below) / r.inside] for s in (max(0.0, at - 5e-4), min(1.0, at + 5e-4))]
+            asked.append(F.percentile_approx(group[0].between(v[i]), shares, 5000))
+        brackets = [b for row in data.agg(*(c.alias(f"b{j}") for j, c in enumerate(asked))).first() for b in zip(row[::2], row[1::2], strict=True)]
+        wide = [r for group in same.values() for r in group]
+        counts = [F.count_if(f) for r, (a, b) in zip(wide, brackets, strict=True) for x in [v[r.column]] for f in (x < a, x <= a, x < b, x <= b)]
+        found = data.agg(*(c.alias(f"c{j}") for j, c in enumerate(counts))).first()
+        for j, (r, (a, b)) in enumerate(zip(wide, brackets, strict=True)):
+            r.narrow(a, b, tuple(found[4 * j : 4 * j + 4]))
+    left = [r for r in ranks.values() if r.a < r.b]
+    if left:
+        picked = [F.element_at(F.sort_array(F.collect_list(r.between(v[r.column]))), r.rank - r.below + 1) for r in left]
+        for r, value in zip(left, data.agg(*(c.alias(f"p{j}") for j, c in enumerate(picked))).first(), strict=True):
+            r.a = r.b = value
+    for (i, k), at in wanted.items():
+        low, high = ranks[i, math.floor(at)].a, ranks[i, math.ceil(at)].a
+        out[i][k] = low + (at - math.floor(at)) * (high - low) if low != high else low
+    return out
 
 
 def series_stats(table: Table, name: str, floats_only: bool = False) -> SeriesStats:
@@ -131,12 +160,13 @@ def describe(table: Table, names: Iterable[str] | None = None) -> DataFrame:
         if one_pass:
             aggs.append(F.percentile(v, F.array(*map(F.lit, QUARTILES))).alias(f"q{i}"))
     nothing = F.lit(None).cast("double")
+    found = {} if one_pass else dict(zip(numeric, all_quantiles(table.df, [_number(table, c) for c in numeric], QUARTILES), strict=True))
     rows = []
     for i, c in enumerate(names):
         if c in others:
             figures = [nothing] * 7
         else:
-            q = [F.col(f"q{i}")[k] for k in range(3)] if one_pass else [F.lit(x).cast("double") for x in exact_quantiles(table.df, _number(table, c), QUARTILES)]
+            q = [F.col(f"q{i}")[k] for k in range(3)] if one_pass else [F.lit(x).cast("double") for x in found[c]]
             figures = [F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"a{i}"), *q, F.col(f"z{i}")]
         unique = F.col(f"u{i}") if c in others else F.lit(None).cast("long")
         heads = ["mean", "std", "min", "25%", "50%", "75%", "max"]

@@ -235,14 +235,14 @@ class Table:
     def sample(self, n: int, replace: bool = False, seed: int = 0) -> Table:
         """n rows by the order of md5(seed-key): the same rows on every run, returned in key order.
 
-        With replacement, n positions are drawn from md5(seed-draw), so rows can repeat.
+        With replacement, n positions are drawn from 60 bits of md5(seed-draw), so rows can repeat.
         """
         key = F.col(f"`{self._order()}`")
         if replace:
             total = self.nrows()
             if not total:
                 raise InvalidParameter("nothing to draw from")
-            draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % total
+            draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long") % total
             drawn = self.df.sparkSession.range(n).select(draw.alias("__at"))
             return self._with(self.positions().join(drawn, F.col(POSITION) == F.col("__at")).drop(POSITION, "__at").orderBy(key))
         mark = F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.table import Table
@@ -74,3 +74,7 @@ class Arrange:
 
     def execute(self) -> Table:
         return self.table.arrange(self.keys)
+
+    def ranked(self, name: str) -> DataFrame:
+        """The rows in any order with their 0-based position in the one that execute() gives."""
+        return self.table.ranked(self.keys, name)

@@ -153,12 +153,17 @@ def design_matrix(formula: Formula | str, table: Table) -> DataFrame:
     return compile_formula(formula, table).frame(table)
 
 
+def unlisted(column: Column, levels: list[str]) -> Column:
+    """Counts values that are no level."""
+    return F.count_if(column.isNotNull() & ~column.cast("string").isin(levels))
+
+
 def check_new_data(design: Design, table: Table) -> None:
     """Prediction data need the formula's variables; values outside the frozen levels are an error."""
     for v in design.needed:
         if not table.has_column(v):
             raise VariableNotFound(v, table.column_names)
-    checks = [(v, F.count_if(F.col(f"`{v}`").isNotNull() & ~F.col(f"`{v}`").cast("string").isin(levels))) for v, levels in design.levels.items()]
+    checks = [(v, unlisted(F.col(f"`{v}`"), levels)) for v, levels in design.levels.items()]
     if checks:
         for (v, _), bad in zip(checks, table.df.agg(*(c.alias(f"c{i}") for i, (_, c) in enumerate(checks))).first(), strict=True):
             if bad:

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.errors import InsufficientData, InvalidConfig, MissingDataError, MissingResponse, NotFitted, SingularMatrixError
+from statloom.errors import InsufficientData, InvalidConfig, MissingDataError, MissingResponse, NotFitted, SingularMatrixError, VariableTypeMismatch
 from statloom.functions.ordering import squared_steps
 from statloom.operators.stats import QUARTILES, exact_quantiles
 from statloom.operators.table import Table
 from statloom.plans.formula.ast import Formula
-from statloom.plans.formula.compile import Design, check_new_data, compile_formula
+from statloom.plans.formula.compile import Design, check_new_data, compile_formula, unlisted
 from statloom.plans.formula.parser import parse
 from statloom.plans.linmod import dist
 from statloom.plans.linmod.gram import SUM_COLUMNS, cross_products, r_factor
@@ -138,12 +138,20 @@ def fit(formula: Formula, table: Table | None, settings: LinearConfig) -> Linear
 
     # Job A: rows, missing values, means and spreads.
     free = [j for j in range(p) if names[j] != INTERCEPT]
+    factors = list(design.levels)
     checks = [F.count("*")] + [F.count_if(c.isNull() | F.isnan(c)) for c in [*(x[j] for j in free), y]]
+    checks += [f(F.col(f"`{v}`"), design.levels[v]) for v in factors for f in (lambda c, _: F.count_if(c.isNull()), unlisted)]
     moments = [f(c) for c in [*(x[j] for j in free), y] for f in (F.avg, F.stddev_samp)]
     row = list(table.df.agg(*(c.alias(f"a{i}") for i, c in enumerate(checks + moments))).first())
     n = row[0]
     if n <= p:
         raise InsufficientData(n, p)
+    held, row = row[len(free) + 2 : len(checks)], row[: len(free) + 2] + row[len(checks) :]
+    for v, missing, other in zip(factors, held[::2], held[1::2], strict=True):
+        if missing:
+            raise MissingDataError(f"{v} has {missing} missing values")
+        if other:
+            raise VariableTypeMismatch(v, f"one of {', '.join(design.levels[v])}", f"{other} other values")
     for label, bad in zip([*(names[j] for j in free), formula.response], row[1 : len(free) + 2], strict=True):
         if bad:
             raise MissingDataError(f"{label} has {bad} missing values")
@@ -151,7 +159,7 @@ def fit(formula: Formula, table: Table | None, settings: LinearConfig) -> Linear
     means, sds, y_mean = figures[:-1, 0], figures[:-1, 1], figures[-1, 0]
     if settings.center or settings.scale:
         spread = np.where((sds > FLOOR) & settings.scale, sds, 1.0)
-        shift = means if settings.center or settings.scale else np.zeros(len(free))
+        shift = means if settings.center else np.zeros(len(free))
         for k, j in enumerate(free):
             x[j] = (x[j] - F.lit(float(shift[k]))) / F.lit(float(spread[k]))
         means, sds = (means - shift) / spread, sds / spread

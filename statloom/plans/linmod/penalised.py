@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.errors import InvalidConfig, MissingResponse, NotConverged
+from statloom.errors import InvalidConfig, MissingDataError, MissingResponse, NotConverged
 from statloom.operators.stats import exact_quantiles
 from statloom.operators.table import Table
 from statloom.plans.formula.compile import Design, check_new_data, compile_formula
@@ -55,6 +55,12 @@ def _bind(formula: str, table: Table) -> Design:
     design = compile_formula(formula, table)
     if design.response is None:
         raise MissingResponse("the formula has no response")
+    checked = [*design.columns, (design.formula.response, design.response)]
+    # A null or unlisted category makes its dummies null.
+    bad = table.df.agg(*(F.count_if(c.isNull() | F.isnan(c)).alias(f"c{i}") for i, (_, c) in enumerate(checked))).first()
+    for (label, _), n in zip(checked, bad, strict=True):
+        if n:
+            raise MissingDataError(f"{label} has {n} missing values")
     return design
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from statloom import queries
+from statloom import api_queries, queries  # noqa: F401  (api_queries registers with queries)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

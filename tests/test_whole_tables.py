@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data her
 
 def test_predictions_for_every_event(spark):
     want = {r.event_id for r in spark.read.parquet(f"{DIR}/events.parquet").select("event_id").collect()}
-    got = [r.event_id for r in queries.QUERIES["q40_predict_all"](spark, DIR).collect()]
+    got = [r.event_id for r in queries.QUERIES["q40_predict"](spark, DIR).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
