@@ -6,21 +6,27 @@ the id) the driver learns a rotation (principal axes, then alternating sign and
 that holds `reach` of the true neighbours inside the sample. Every class is indexed: codes are cut into SUBSTRINGS
 pieces, each piece with its own table. By the pigeonhole principle a code within radius r agrees with the query in some
 piece up to r // SUBSTRINGS bits, so probing all values within that many flips retrieves every code within r; codes
-found are checked against r, then ranked by cosine on the original vectors in double precision. Where a shard holds
-fewer than k + 1 codes within r, its radius grows.
+found are checked against r, then ranked by cosine on the original vectors in double precision. A shard with fewer rows
+than a query has probes is checked code by code, which retrieves the same codes.
 
-Index classes are dealt by hash into shards of about `shard_rows`; each block of at most `query_rows` queries meets each
-shard once, so a task holds one shard and one block.
+The index never moves: each task builds the tables of its own rows, `shard_rows` at a time, and answers a block of queries,
+of which it keeps the best k + 1 over all its shards; while it has fewer, the radius grows. Query blocks are broadcast one
+after the other, each of at most `query_bytes`, so only queries times tasks times k + 1 scores are shuffled, and blocks
+grow in number, not in size. How many codes lie within the radius is up to the data: where neighbours are hardly nearer than
+other rows, the radius is wide and a query meets a share of all rows.
 
 Defined results: vectors that are null, empty, zero, of another length than the sample's most frequent one, or that hold
-null or non-finite components take no part; a query without any candidate returns no row; rows that repeat an id are
-separate candidates of which none with the query's own id counts; an empty table gives no rows; further columns are
-ignored.
+null or non-finite components take no part; finite components of any size do, as vectors are scaled by their largest one
+before lengths are taken; a query without any candidate returns no row; equal scores rank by id; rows that repeat an id
+are separate candidates of which none with the query's own id counts; an empty table gives no rows; further columns are
+ignored. Building the plan runs jobs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +38,21 @@ from statloom.llm.common import shared_table
 BITS, SUBSTRINGS = 64, 4
 
 
+def scaled_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows by their largest component, so that no square overflows or vanishes."""
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    rows = scaled_rows(vectors)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 class Codes:
     """Rotation to binary codes, and the radius learned with it."""
 
     def __init__(self, vectors: np.ndarray, reach: float, k: int, rounds: int = 30, seed: int = 5):
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = unit_rows(vectors)
         self.bits = min(BITS, unit.shape[1])
         self.centre = unit.mean(axis=0)
         x = unit - self.centre
@@ -53,8 +69,7 @@ class Codes:
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """(n, bits) of 0 and 1."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        return ((unit - self.centre) @ self.axes >= 0).astype(np.uint8)
+        return ((unit_rows(vectors) - self.centre) @ self.axes >= 0).astype(np.uint8)
 
     def _radius(self, unit: np.ndarray, reach: float, k: int) -> int:
         q = unit[:: max(1, len(unit) // 256)]
@@ -81,6 +96,9 @@ class Shard:
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within the radius of the query's bits: all of them, by the pigeonhole principle."""
+        word = pack(query[None])[0]
+        if sum(count_flips(int(hi - lo), radius // SUBSTRINGS) for lo, hi in zip(self.codes.cuts, self.codes.cuts[1:], strict=False)) >= len(self.words):
+            return np.flatnonzero(np.bitwise_count(self.words ^ word) <= radius)
         hit = np.zeros(len(self.words), bool)
         for (order, starts), lo, hi in zip(self.tables, self.codes.cuts, self.codes.cuts[1:], strict=False):
             probes = int(query[lo:hi] @ (1 << np.arange(hi - lo))) ^ flips(int(hi - lo), radius // SUBSTRINGS)
@@ -92,7 +110,7 @@ class Shard:
             if len(ends):
                 hit[order[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)]] = True
         rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.words[rows] ^ pack(query[None])[0]) <= radius]
+        return rows[np.bitwise_count(self.words[rows] ^ word) <= radius]
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -113,11 +131,81 @@ def flips(width: int, most: int) -> np.ndarray:
     return _flips[key]
 
 
+def count_flips(width: int, most: int) -> int:
+    return sum(comb(width, n) for n in range(min(most, width) + 1))
+
+
 def _matrix(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+def _best(items: list[tuple], k: int) -> list[tuple]:
+    """The first of (minus score, ids) with up to k + 1 distinct first ids."""
+    out, seen = [], set()
+    for item in sorted(items):
+        if len(seen) > k:
+            break
+        out.append(item)
+        seen.add(item[1][0])
+    return out
+
+
+def _search(index: DataFrame, asks: pa.Table, codes, k: int, shard_rows: int) -> DataFrame:
+    """cid, ids, score: each task's best classes for each query of the block."""
+    sent = index.sparkSession.sparkContext.broadcast((asks.column("qid").to_pylist(), _matrix(asks.column("q")))) if len(asks) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sent is None:
+            return
+        qids, q = sent.value
+        q = scaled_rows(q)
+        q_norms, bits = np.linalg.norm(q, axis=1), codes.value.encode(q)
+        best: list[list[tuple]] = [[] for _ in qids]
+
+        def answer(held: list[pa.RecordBatch]) -> None:
+            rows = pa.Table.from_batches(held)
+            vectors, ids = scaled_rows(_matrix(rows.column("v"))), rows.column("ids").to_pylist()
+            shard, norms = Shard(codes.value, vectors), np.linalg.norm(vectors, axis=1)
+            least = np.array([i[0] for i in ids])
+            for at, (v, n, b) in enumerate(zip(q, q_norms, bits, strict=True)):
+                radius, mine = codes.value.radius, best[at]
+                found = shard.within(b, radius)
+                had = {i[0] for _, i in mine}
+                while len(found) < len(vectors) and len(had) <= k and len(had.union(least[found].tolist())) <= k:
+                    radius += SUBSTRINGS
+                    found = shard.within(b, radius)
+                score = (vectors[found] * v).sum(axis=1) / (norms[found] * n)
+                if len(had) > k:  # only what reaches the worst of the best
+                    near = score >= -mine[-1][0]
+                    found, score = found[near], score[near]
+                if not len(found):
+                    continue
+                order = np.argsort(-score, kind="stable")
+                new = np.sort(np.unique(least[found[order]], return_index=True)[1])
+                if len(new) > k + 1:  # all that tie with the class that brings id k + 1
+                    near = score >= score[order[new[k]]]
+                    found, score = found[near], score[near]
+                best[at] = _best([*mine, *zip((-score).tolist(), (tuple(ids[i]) for i in found), strict=True)], k)
+
+        held, n = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, shard_rows):
+                piece = batch.slice(start, shard_rows)
+                if n + piece.num_rows > shard_rows and held:
+                    answer(held)
+                    held, n = [], 0
+                held.append(piece)
+                n += piece.num_rows
+        if held:
+            answer(held)
+        flat = [(cid, i, -s) for cid, found in zip(qids, best, strict=True) for s, i in found]
+        columns = [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.list_(pa.int64())), pa.array([x[2] for x in flat], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["cid", "ids", "score"])
+
+    return index.select("v", "ids").mapInArrow(run, "cid long, ids array<long>, score double")
+
+
 def nearest(
     df: DataFrame,
     queries: DataFrame,
@@ -127,7 +215,7 @@ def nearest(
     sample: int = 4096,
     reach: float = 0.98,
     shard_rows: int = 8192,
-    query_rows: int = 4096,
+    query_bytes: int = 32_000_000,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of df for each row of queries (same columns), without itself."""
 
@@ -158,44 +246,13 @@ def nearest(
     wanted = usable(queries).where(F.size("v") == dim)
     asked = shared_table(wanted.join(index.select("v", "cid"), "v").select("id", "cid"), "queries")
     asking = index.join(asked.select("cid").distinct(), "cid", "left_semi").select(F.col("cid").alias("qid"), F.col("v").alias("q"))
-    shards = max(1, -(-index.count() // shard_rows))
-    blocks = max(1, -(-asked.select("cid").distinct().count() // query_rows))
+    blocks = max(1, -(-asked.select("cid").distinct().count() * 8 * dim // query_bytes))
+    dealt = shared_table(asking.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "asking")
+    found = None
+    for block in range(blocks):
+        part = _search(index, dealt.where(F.col("block") == block).select("qid", "q").toArrow(), codes, k, shard_rows)
+        found = part if found is None else found.unionByName(part)
 
-    left = index.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asking.withColumn("block", F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def search(held: pa.Table, asks: pa.Table) -> pa.Table:
-        out_q, out_ids, out_s = [], [], []
-        if held.num_rows and asks.num_rows:
-            vectors, q = _matrix(held.column("v")), _matrix(asks.column("q"))
-            shard, ids = Shard(codes.value, vectors), held.column("ids").to_pylist()
-            least = np.array([i[0] for i in ids])
-            norms, q_norms = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-            bits = codes.value.encode(q)
-            for cid, v, n, b in zip(asks.column("qid").to_pylist(), q, q_norms, bits, strict=True):
-                radius = codes.value.radius
-                found = shard.within(b, radius)
-                while len(found) < len(vectors) and (len(found) <= k or len(np.unique(least[found])) <= k):
-                    radius += SUBSTRINGS
-                    found = shard.within(b, radius)
-                score = (vectors[found] * v).sum(axis=1) / (norms[found] * n)
-                order = np.argsort(-score, kind="stable")
-                new = np.sort(np.unique(least[found[order]], return_index=True)[1])
-                if len(new) > k + 1:  # all that tie with the class that brings id k + 1
-                    found = found[score >= score[order[new[k]]]]
-                    score = (vectors[found] * v).sum(axis=1) / (norms[found] * n)
-                best, seen = [], set()
-                for item in sorted(zip((-score).tolist(), (ids[i] for i in found), strict=True)):
-                    if len(seen) > k:
-                        break
-                    best.append(item)
-                    seen.add(item[1][0])
-                out_q += [cid] * len(best)
-                out_ids += [i for _, i in best]
-                out_s += [-s for s, _ in best]
-        return pa.table({"cid": pa.array(out_q, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "score": pa.array(out_s, pa.float64())})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, "cid long, ids array<long>, score double")
     each = found.select("cid", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("cid").orderBy(F.desc("score"), "vec_id")
     again = Window.partitionBy("cid", "vec_id").orderBy(F.desc("score"))

@@ -1,5 +1,7 @@
 """Nearest neighbours: recall against brute force, ties, copies and unusable vectors."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -31,7 +33,7 @@ def test_recall(spark, dim):
     rows = [(i, centres[i % 20] + r.normal(0, 0.7, dim)) for i in range(3000)]
     df = frame(spark, rows)
     got = {}
-    for x in ann.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=900, query_rows=25).collect():
+    for x in ann.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=900, query_bytes=25 * 8 * dim).collect():
         got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
     want = truth(rows)
     assert set(got) == set(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
@@ -67,6 +69,38 @@ def test_repeated_ids_leave_k_neighbours(spark):
     assert got == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4)]
 
 
+def test_components_of_any_size(spark):
+    """Scaling vectors by huge or tiny factors changes no neighbour."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(0, 1, 8)) for i in range(300)]
+    scale = {0: 1e200, 1: 1e-200, 2: 1.0}
+    df = spark.createDataFrame([(i, [float(x) * scale[i % 3] for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    m = np.array([v for _, v in rows])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 300, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len({v for _, v, _ in got[q]} & set(np.argsort(-s)[:5].tolist()))
+        assert all(score == pytest.approx(s[v], abs=1e-12) for _, v, score in got[q])
+    assert hits >= 0.9 * 30
+
+
+def test_recall_on_given_vectors(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    df = spark.read.parquet(path)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want, got = truth(rows), {}
+    for x in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) >= 0.95 * 5 * len(want)
+
+
 def test_small_and_empty(spark):
     few = frame(spark, [(0, [1, 0]), (1, [0, 1]), (2, [1, 1])])
     got = sorted((x.rank, x.vec_id) for x in ann.nearest(few, few.where("vec_id % 50 = 0")).collect())
