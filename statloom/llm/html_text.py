@@ -1,13 +1,15 @@
 """Main-text extraction: a recurrent labeller decides for every block of a page whether it belongs to the article.
 
 A page is cut into leaf blocks at block-level tags. Each block has a vector of its tag path (hashed tag, class and id
-words of its open block elements), a hashed-word vector of its text and a few figures. A bidirectional LSTM in numpy
+words of its NEAREST innermost open block elements), a hashed-word vector of its text and a few figures. A bidirectional LSTM in numpy
 reads the whole sequence of a page's blocks and gives each a probability; blocks at 0.5 or more are joined in page
 order. Training uses generated pages with known labels (`training_page`, seeded; no row of any table), by
 backpropagation through time on the driver, once for each process.
 
-Defined results: a null or empty page has an empty text; script, style, title and template content, comments and
-markup are never text; broken nesting is repaired by closing the innermost matching element; white space inside a block,
+Defined results: a null or empty page has an empty text; script, style, title and template content, comments, CDATA
+sections, declarations and markup are never text; a tag that isn't closed ends before the next `<`, a quote that doesn't
+close like one ends its tag at the next `>`, and a `<` that begins no markup is text; broken nesting is repaired by closing the
+innermost matching element; reading takes time in proportion to the page, whatever it holds; white space inside a block,
 line breaks included, becomes one space; whole pages of any length are read; rows repeat independently; an empty table
 gives no rows; further columns are ignored.
 """
@@ -36,8 +38,11 @@ BLOCKS = frozenset(
 RAW = frozenset("script style title template svg math".split())
 #: Elements that an opening tag of the same kind closes (fixed values).
 SELF_CLOSING = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Where markup begins; any other `<` is text.
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/><]*)|(!--)|(!\[CDATA\[)|[!?/])")
+#: An attribute up to the quote of its value, or all of it if it has none.
+ATTRIBUTE = re.compile(r"[\s/]*(?:=?[^\s/>=<]+(?:\s*=\s*(?:([\"'])|[^\s>\"'<][^\s><]*)?)?|[=])")
+AFTER_TAG = re.compile(r"[\s/]*")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -46,29 +51,69 @@ WIDTH = PATH + WORDS + FIGURES
 STATE = 16
 #: Blocks that go through the network at once.
 WIDE = 60_000
+#: Open elements that a path names.
+NEAREST = 64
+
+
+class _Finder:
+    """Next occurrences of fixed strings at or after positions that only grow, each found once."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, {}
+
+    def __call__(self, what: str, start: int) -> int:
+        """The length of the page if there is none."""
+        found = self.at.get(what, -1)
+        if found < start:
+            found = self.page.find(what, start)
+            self.at[what] = found = len(self.page) if found < 0 else found
+        return found
+
+
+def _tag_end(page: str, at: int, find: _Finder) -> int:
+    """Where a tag whose name ends at `at` is over."""
+    n = len(page)
+    while True:
+        m = ATTRIBUTE.match(page, at)
+        if not m:
+            break
+        at = m.end()
+        if m[1]:
+            close = find(m[1], at)
+            if close + 1 < n and page[close + 1] not in " \t\r\n\f/>" or close >= n:
+                # No closing quote: the tag is over where it can be.
+                return min(find(">", at) + 1, find("<", at), n)
+            at = close + 1
+    at = AFTER_TAG.match(page, at).end()
+    return at + 1 if at < n and page[at] == ">" else min(find(">", at) + 1, find("<", at), n)
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of each block that has text."""
     page = page or ""
+    find = _Finder(page)
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, str]] = []
+    opened: dict[str, int] = {}
     held: list[str] = []
     linked = at = 0
     in_link = False
-    path: tuple[str, ...] = ()
 
     def close() -> None:
+        """End the block; the stack is still as it was where the block began."""
         nonlocal linked, in_link
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((path, text, linked))
+                out.append((tuple(s for _, s in stack[-NEAREST:]), text, linked))
             held.clear()
         linked, in_link = 0, False
 
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     while True:
-        m = TOKEN.search(page, at)
+        m = OPEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             held.append(text)
@@ -76,29 +121,32 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 linked += len(text)
         if not m:
             break
-        at = m.end()
         if m[2] is None:
+            at = m.end()
+            at = find("-->", at - 2) + 3 if m[3] else find("]]>", at) + 3 if m[4] else find(">", at) + 1
             continue
         name, ends = m[2].lower(), m[1] == "/"
+        at = _tag_end(page, m.end(), find)
         if name in RAW:
-            if not ends and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not ends and page[at - 2 : at] != "/>":
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                at = find(">", end.end()) + 1 if end else len(page)
         elif name in BLOCKS:
             close()
             if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened.get(name):
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
             else:
                 shut = SELF_CLOSING.get(name, ())
                 while stack and stack[-1][0] in shut:
-                    stack.pop()
+                    pop()
                 if name != "hr":
-                    said = " ".join(a or b or c for a, b, c in NAMED.findall(m[3])) if "=" in m[3] else ""
+                    tag = page[m.end() : at]
+                    said = " ".join(a or b or c for a, b, c in NAMED.findall(tag)) if "=" in tag else ""
                     stack.append((name, f"{name} {said.lower()}" if said else name))
-            path = tuple(s for _, s in stack)
+                    opened[name] = opened.get(name, 0) + 1
         elif name == "br":
             held.append(" ")
         elif name == "a":

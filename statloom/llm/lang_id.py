@@ -1,20 +1,23 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on the driver, on a bounded sample: `per_lang` labelled
-documents of each language (one of each hash bucket), and of the first EXCERPT characters of each at most `windows_each`
-windows of WINDOW bytes, those with the least hash of id and place, so from all parts of the excerpt. Every byte position gets language
+documents of each language (one of each hash bucket of ids), and of the whole text of each at most `windows_each` windows of
+WINDOW bytes, those with the least hash of id and place, so from all parts of the text; each language is then weighted to
+the same number of windows, `most` at the most. Executors cut the windows, so no text reaches the driver. Every byte position gets language
 probabilities from a forward and a backward GRU state; a document's probabilities are the mean over its positions.
 Texts are read whole, in windows of WINDOW bytes that run through the network side by side; each window starts from the
 zero state, so memory is one slice of texts whatever their length. Gates use the hard sigmoid.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled document every text is
-`und`; a null id is never learned from and not held out; rows repeat independently; an empty table gives no rows;
-further columns are ignored.
+`und`; a null id is never learned from and not held out; of rows with one id and language the least text is learned from; equal
+probabilities go to the first language by name; very long texts are read whole; rows repeat independently; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 from statloom.llm.common import arrow_map, cuts, small_batches
 
 WINDOW, STATE, PAD = 64, 8, 256
-EXCERPT = 2000
 #: Windows that run side by side.
 WIDE = 2048
 LETTER = regex.compile(r"\p{L}")
@@ -170,25 +172,31 @@ def spread(id: object, count: int, most: int) -> np.ndarray:
     return taken
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 256, windows_each: int = 16) -> Labeller:
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 256, windows_each: int = 16, most: int = 4000) -> Labeller:
     """Train on the sample described above; rows that are held out are never read for it."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    small_batches(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = [r.id for r in rows.groupBy("lang", F.pmod(F.xxhash64("id"), F.lit(per_lang)).alias("bucket")).agg(F.min("id").alias("id")).collect()]
-    if not ids:
-        return Labeller([], None)
-    chosen = rows.where(F.col("id").isin(ids)).select("id", "lang", F.substring("text", 1, EXCERPT).alias("text")).dropDuplicates(["id", "lang"]).orderBy("id", "lang").collect()
-    langs = sorted({r.lang for r in chosen})
-    x, counts = windows([r.text.encode() for r in chosen if r.text])
-    y = np.repeat([langs.index(r.lang) for r in chosen if r.text], counts)
-    ids = [r.id for r in chosen if r.text]
-    taken = np.concatenate([spread(i, c, windows_each) for i, c in zip(ids, counts.tolist(), strict=True)]) if ids else np.empty(0, bool)
-    x, y = x[:, taken], y[taken]
-    if not len(y):
+    taught = rows.groupBy("lang", F.pmod(F.xxhash64("id"), F.lit(per_lang)).alias("bucket")).agg(F.min("id").alias("id")).drop("bucket")
+    chosen = rows.join(taught, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = text.encode()
+                places = np.flatnonzero(spread(one, -(-len(raw) // WINDOW), windows_each)).tolist()
+                found = [raw[p * WINDOW : p * WINDOW + WINDOW] for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array([str(one)] * len(places), pa.string()), pa.array([lang] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(found, pa.binary())], names=["id", "lang", "place", "raw"])
+
+    pieces = sorted(map(tuple, chosen.mapInArrow(cut, "id string, lang string, place long, raw binary").collect()))
+    if not pieces:
         return Labeller([], None)
+    langs = sorted({lang for _, lang, *_ in pieces})
+    x, _ = windows([bytes(raw) for *_, raw in pieces])
+    y = np.array([langs.index(lang) for _, lang, *_ in pieces])
     # Each language counts alike, whatever its share of the sample.
     r = np.random.default_rng(3)
-    most = min(4000, max(np.bincount(y)))
+    most = min(most, max(np.bincount(y)))
     pick = np.concatenate([r.choice(np.flatnonzero(y == k), most) for k in range(len(langs)) if (y == k).any()])
     net = ByteGru(len(langs))
     net.train(x[:, pick], y[pick])

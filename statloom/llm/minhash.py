@@ -7,17 +7,24 @@
    10 at 0.85 and 14 at 0.8 with rows=4.
 2. Equal sets are one class, represented by its smallest id; only representatives go into the tables.
 3. A table bucket gives edges from its smallest member, first inside each batch and then over all batches, so a bucket
-   of g members makes g - 1 edges. Their components are families: every pair that meets in a bucket is in one family.
-4. Inside a family links are decided on the full sets. A probe counts the intersections of one set with all others
-   through an inverted list. Sets with too few shared shingles can't link and leave; after the first probe only sets
-   outside the largest component are probed, which covers every pair that isn't connected already. Families above
-   `block_shingles` are cut into blocks and every pair of blocks is a task of its own, so no task holds more than two
-   blocks; each task returns a spanning forest of its links, not pairs.
-5. Components of the links, by distributed steps; the verdict returns by class to all rows.
+   of g members makes g - 1 edges; an edge knows whether all its buckets hold two members only.
+4. Verification comes before closure: each member is checked against its smallest leader on the full sets, in groups of
+   at most STAR_ROWS members a leader, so a group of copies spreads over tasks. Components of these links are cores.
+   Edges inside a core are done, and so are refuted ones from buckets of two.
+5. Cores that the remaining edges join are families. Inside a family links between cores are decided on the full sets: the
+   largest core is dealt into blocks apart from the rest, blocks hold about `block_shingles`, and each block of the rest
+   meets every block, so pairs inside the largest core are never looked at and no task holds more than two blocks. A probe
+   counts the intersections of one set with others through an inverted list; sets with too few shared shingles can't link
+   and leave; only sets outside the largest component are probed. A task returns a spanning forest of its links, not pairs.
+6. Components of all links, by distributed steps; the verdict returns by class to all rows.
+
+What can be lost: a pair of sets meets in no table with probability 1 - FOUND at the threshold, less above; two shingles
+share a 64-bit hash with probability 2e-20 a pair of shingles, which could count a text's shingles one too few.
 
 Defined results: a null, empty or blank text has the empty set, n_shingles 0, and is linked with nothing; fewer words
-than a shingle make one shingle; rows with the same id are one document; a row with a null id is linked with nothing
-and kept; an empty table gives no rows; further columns are ignored.
+than a shingle make one shingle; equal sets are linked whatever their texts; very long texts are read whole; rows with the
+same id are one document; a row with a null id is linked with nothing and kept; an empty table gives no rows; further
+columns are ignored. Building the plan runs jobs.
 """
 
 from __future__ import annotations
@@ -31,13 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import arrow_map, shared_table
+from statloom.llm.common import arrow_map, shared_table, slices
 from statloom.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
 #: Least probability that a pair right at the threshold meets in a table.
 FOUND = 0.9985
+#: Members of a leader that one task checks.
+STAR_ROWS = 1000
 #: Table keys that a worker combines at once.
 COMBINED_KEYS = 1_000_000
 _words: dict[bytes, int] = {}
@@ -109,10 +118,10 @@ def table_keys(halves: np.ndarray, m: int) -> np.ndarray:
     return mix(first[:, :, None] + second[:, None, :] * np.uint64(3) + cell).reshape(len(halves), m * m)
 
 
-def _links(first: list[np.ndarray], second: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
+def _links(first: list[np.ndarray], second: list[np.ndarray] | None, num: int, den: int, cores: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links (den * intersection >= num * union) of a block, or between two blocks.
 
-    Positions count through `first`, then `second`.
+    Positions count through `first`, then `second`. Sets of one core count as linked already.
     """
     sets = first + (second or [])
     n = len(sets)
@@ -147,19 +156,29 @@ def _links(first: list[np.ndarray], second: list[np.ndarray] | None, num: int, d
             i = parent[i]
         return i
 
+    if cores is not None:
+        parent = np.unique(np.array(cores, np.int64), return_index=True, return_inverse=True)
+        parent = parent[1][parent[2]]
     out: list[tuple[int, int]] = []
     done = ~alive
 
     def probe(i: int) -> None:
         lists = mine[starts[i] : starts[i + 1]]
-        common = np.bincount(np.concatenate([of[ends[k] : ends[k + 1]] for k in lists]), minlength=n)
-        near = den * common >= num * (sizes[i] + sizes - common)
-        near[i] = False
-        near &= alive
+        if not len(lists):
+            done[i] = True
+            return
+        met = np.concatenate([of[ends[k] : ends[k + 1]] for k in lists])
+        if len(met) > n:
+            common = np.bincount(met, minlength=n)
+            found = np.flatnonzero(common)
+            common = common[found]
+        else:
+            found, common = np.unique(met, return_counts=True)
+        near = (den * common >= num * (sizes[i] + sizes[found] - common)) & (found != i) & alive[found]
         if second is not None:
-            near &= side != side[i]
+            near &= side[found] != side[i]
         a = root(i)
-        for j in np.flatnonzero(near):
+        for j in found[near].tolist():
             b = root(j)
             if a != b:
                 parent[b] = a
@@ -197,7 +216,7 @@ def near_dedup(
     m: int | None = None,
     rows: int = 4,
     seed: int = 7,
-    block_shingles: int = 4_000_000,
+    block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; linked are sets with 100 * intersection >= percent * union."""
     m = m or collections_for(percent / 100, rows)
@@ -237,6 +256,8 @@ def near_dedup(
             yield pa.Table.from_batches(held)
 
     def bucketing(local: bool):
+        """Edges of local buckets of three and more; or a row a local bucket, with the second member of two."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in joined(batches):
                 ids = np.repeat(batch.column(0).to_numpy(), m * m)
@@ -245,56 +266,114 @@ def near_dedup(
                 order = np.lexsort((ids, keys))
                 keys, ids = keys[order], ids[order]
                 new = np.concatenate([[True], keys[1:] != keys[:-1]])
+                first = np.flatnonzero(new)
+                sizes = np.diff(np.append(first, len(ids)))
                 if not local:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(ids[new])], names=["k", "id"])
+                    two = sizes == 2
+                    other = np.zeros(len(first), np.int64)
+                    other[two] = ids[first[two] + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(ids[new]), pa.array(other, mask=~two), pa.array(sizes)], names=["k", "id", "other", "n"])
                     continue
-                lead = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
-                pairs = np.unique(np.stack([lead, ids], 1)[lead != ids], axis=0)
+                lead, many = np.repeat(ids[first], sizes), np.repeat(sizes > 2, sizes)
+                pairs = np.unique(np.stack([lead, ids], 1)[many & (lead != ids)], axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         return run
 
     halves = classes.select("doc_id", "halves")
-    keyed = halves.mapInArrow(bucketing(False), "k long, id long")
-    lead = keyed.select(F.min("id").over(Window.partitionBy("k")).alias("a"), F.col("id").alias("b")).where("a <> b")
-    edges = lead.unionByName(halves.mapInArrow(bucketing(True), "a long, b long")).distinct()
-    families = connected_components(edges)
-
-    weights = families.join(classes.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
-    blocks = weights.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks"))
-    member = families.join(blocks, "component").select(F.col("id").alias("doc_id"), "component", "blocks")
-    held = docs.join(member.hint("shuffle_hash"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("doc_id", "text", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    held = held.repartition(partitions, "component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "doc_id")
+    of_key = Window.partitionBy("k")
+    keyed = halves.mapInArrow(bucketing(False), "k long, id long, other long, n long")
+    keyed = keyed.withColumns({"lead": F.min("id").over(of_key), "wide": F.sum("n").over(of_key) > 2})
+    each = keyed.where((F.col("lead") != F.col("id")) | F.col("other").isNotNull()).select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("other").alias("b")))).alias("e"), "wide")
+    each = each.select("e.*", "wide").where(F.col("a") != F.col("b"))
+    each = each.unionByName(halves.mapInArrow(bucketing(True), "a long, b long").withColumn("wide", F.lit(True)))
+    edges = shared_table(each.groupBy("a", "b").agg(F.max("wide").alias("wide")), "edges")
+    paired = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = shared_table(docs.join(paired.hint("shuffle_hash"), "doc_id"), "texts")
+
+    # Each member and its smallest leader, who joins every group of the members.
+    least = shared_table(edges.groupBy("b").agg(F.min("a").alias("a")), "leaders")
+    groups = least.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("groups"))
+    members = least.join(groups, "a").select("a", F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("role"))
+    leaders = groups.select("a", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"))
+    stars = texts.join(members.unionByName(leaders), "doc_id").select("a", "part", "role", "doc_id", "text")
+    stars = stars.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", "role")
+
+    def checking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, []
+        for batch in batches:
+            for piece in slices(batch, 4):
+                a, part, role, ids = (piece.column(c).to_pylist() for c in range(4))
+                found: list[tuple[int, int, bool]] = []
+                for key, is_member, doc_id, s in zip(zip(a, part, strict=True), role, ids, shingle_sets(piece.column(4).to_pylist(), width), strict=True):
+                    if now != key:
+                        now, sets = key, []
+                    if not is_member:
+                        sets.append(s)
+                        continue
+                    shared = [len(np.intersect1d(s, lead, assume_unique=True)) for lead in sets]
+                    linked = any(100 * c >= percent * (len(s) + len(lead) - c) for c, lead in zip(shared, sets, strict=True))
+                    found.append((key[0], doc_id, linked))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found])], names=["a", "b", "linked"])
+
+    checked = shared_table(stars.mapInArrow(checking, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
+    links = checked.where("linked").select("a", "b")
+    cores = shared_table(connected_components(links), "cores")
+
+    # Edges between cores that no check has refuted, or whose buckets hold more than their two ends.
+    core_of = lambda end: cores.select(F.col("id").alias(end), F.col("component").alias(f"core_{end}"))
+    left = edges.join(checked.where("NOT linked"), ["a", "b"], "left").where(F.col("wide") | F.col("linked").isNull()).select("a", "b")
+    left = left.join(core_of("a"), "a", "left").join(core_of("b"), "b", "left")
+    left = left.select(F.coalesce("core_a", "a").alias("a"), F.coalesce("core_b", "b").alias("b")).where("a <> b")
+    families = shared_table(connected_components(left), "families")
+
+    known = texts.select("doc_id").distinct().join(cores.select(F.col("id").alias("doc_id"), F.col("component").alias("core")), "doc_id", "left")
+    known = known.select("doc_id", F.coalesce("core", "doc_id").alias("core"))
+    known = known.join(families.select(F.col("id").alias("core"), F.col("component").alias("family")), "core")
+    known = shared_table(known.join(classes.groupBy("doc_id").agg(F.sum("n_shingles").alias("weight")), "doc_id"), "members")
+    weights = known.groupBy("family", "core").agg(F.sum("weight").alias("weight"))
+    largest = weights.groupBy("family").agg(F.max_by("core", F.struct("weight", "core")).alias("largest"), F.max("weight").alias("inner"), F.sum("weight").alias("weight"))
+    split = F.col("weight") > block_shingles
+    count = lambda w: F.greatest(F.lit(1), F.ceil(w / block_shingles).cast("int"))
+    largest = largest.select("family", F.when(split, F.col("largest")).alias("largest"), F.when(split, count(F.col("weight") - F.col("inner"))).otherwise(1).alias("rest_blocks"), F.when(split, count(F.col("inner"))).otherwise(0).alias("core_blocks"))
+    member = known.join(largest, "family")
+    in_core = F.coalesce(F.col("core") == F.col("largest"), F.lit(False))
+    own = F.when(in_core, F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), F.col("core_blocks"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks"))).cast("int")
+    met = F.when(in_core, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("core_blocks"))
+    member = member.select("doc_id", "family", "core", own.alias("own"), F.explode(F.sequence(F.lit(0), met - 1)).alias("other"))
+    held = texts.join(member, "doc_id")
+    held = held.select("doc_id", "text", "family", "core", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    held = held.repartition(partitions, "family", "i", "j").sortWithinPartitions("family", "i", "j", "own", "doc_id")
 
     def confirming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decide(group: list[tuple]) -> pa.RecordBatch | None:
             (_, i, j), sides = group[0][0], ([], [])
-            for key, own, doc_id, s in group:
-                sides[own != key[1]].append((doc_id, s))
+            for key, own, doc_id, core, s in group:
+                sides[own != key[1]].append((doc_id, core, s))
             if len(group) < 2 or (i != j and not (sides[0] and sides[1])):
                 return None
-            found = _links([s for _, s in sides[0]], [s for _, s in sides[1]] if i != j else None, percent, 100)
-            ids = [d for side in sides for d, _ in side]
+            found = _links([s for *_, s in sides[0]], [s for *_, s in sides[1]] if i != j else None, percent, 100, [c for side in sides for _, c, _ in side])
+            ids = [d for side in sides for d, *_ in side]
             return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
 
         group: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(6)]
-            sets = shingle_sets(columns[1], width)
-            for doc_id, component, own, i, j, s in zip(columns[0], *columns[2:], sets, strict=True):
-                if group and group[0][0] != (component, i, j):
-                    if (out := decide(group)) is not None:
-                        yield out
-                    group = []
-                if len(s):
-                    group.append(((component, i, j), own, doc_id, s))
+            for piece in slices(batch, 1):
+                columns = [piece.column(c).to_pylist() for c in range(7)]
+                sets = shingle_sets(columns[1], width)
+                for doc_id, family, core, own, i, j, s in zip(columns[0], *columns[2:], sets, strict=True):
+                    if group and group[0][0] != (family, i, j):
+                        if (out := decide(group)) is not None:
+                            yield out
+                        group = []
+                    if len(s):
+                        group.append(((family, i, j), own, doc_id, core, s))
         if group and (out := decide(group)) is not None:
             yield out
 
-    links = held.mapInArrow(confirming, "a long, b long")
-    components = connected_components(links)
+    more = held.mapInArrow(confirming, "a long, b long")
+    components = connected_components(links.unionByName(more))
     judged = classes.select("h1", "h2", "doc_id").join(components, F.col("doc_id") == F.col("id"), "left")
     judged = judged.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "doc_id").alias("component_id"))
     rest = signed.select("doc_id", "n_shingles", "h1", "h2")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -125,6 +126,45 @@ def test_near_blocks_of_one_family(spark):
     assert whole == cut == components(rows, 80)
 
 
+def test_near_copies_that_leaders_do_not_link(spark):
+    """Chains of edits: neighbours are linked, the smallest member isn't linked to most; all in one bucket or in many."""
+    r = random.Random(12)
+    words = [f"w{r.randrange(300)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        for _ in range(2):
+            words[r.randrange(len(words))] = f"v{r.randrange(300)}"
+    rows += [(100 + i, " ".join([*words[:140], *(f"u{r.randrange(99)}" for _ in range(r.randint(0, 30)))])) for i in range(40)]
+    want = components(rows, 85)
+    assert len(set(want.values())) > 3
+    for options in ({}, {"block_shingles": 700}, {"rows": 1, "m": 3}, {"rows": 1, "m": 3, "block_shingles": 700}):
+        got = {x.doc_id: x.component_id for x in minhash.near_dedup(frame(spark, rows), percent=85, **options).collect()}
+        assert got == want
+
+
+def test_near_many_short_boilerplate_texts(spark):
+    """50,000 texts that share most of their words, in pairs of copies that differ in one word of 60."""
+    base = spark.range(50_000).selectExpr("id AS doc_id", "id div 2 AS pair", "id % 2 AS side")
+    own = ", ".join(f"'p', (pair * {7919 + 2 * k} + {k}) % 99991" for k in range(20))
+    shared = " ".join(f"terms{k}" for k in range(38))
+    docs = base.selectExpr("doc_id", f"concat_ws(' ', '{shared}', concat_ws(' ', {own}), if(side = 1, 'changed', 'end')) AS text").repartition(8)
+    start = time.monotonic()
+    found = minhash.near_dedup(docs, percent=85).selectExpr("sum(if(component_id = doc_id div 2 * 2, 0, 1)) AS wrong", "count(*) AS n").first()
+    assert (found.n, found.wrong) == (50_000, 0)
+    assert time.monotonic() - start < 120
+
+
+def test_links_take_time_in_proportion():
+    """Sets linked in pairs, and sets that share most but not enough."""
+    r = np.random.default_rng(3)
+    for n in (32_000,):
+        sets = [np.unique(np.concatenate([np.arange(20, dtype=np.uint64) + np.uint64(i // 2 * 1000 + 10**6), [np.uint64(r.integers(10**10, 10**12))]])) for i in range(n)]
+        start = time.process_time()
+        assert len(minhash._links(sets, None, 85, 100)) == n // 2
+        assert time.process_time() - start < 10
+
+
 def test_near_empty(spark):
     assert minhash.near_dedup(frame(spark, [])).collect() == []
     assert [r.kept for r in minhash.near_dedup(frame(spark, [(1, None), (2, "a")])).collect()] == [True, True]

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -66,6 +69,27 @@ def test_language_windows_come_from_the_whole_excerpt(spark):
     assert sum(p == lang for p, (_, lang) in zip(model.predict([t for t, _ in fresh])[0], fresh, strict=True)) >= 18
 
 
+def test_language_learns_from_whole_texts(spark):
+    """What tells the languages apart may come late in long texts, and repeated ids are learned from in one way."""
+    r = random.Random(11)
+    shared = prose(r, "cc", 3000)
+    rows = [(i, shared[:9000] + prose(r, lang, 4000), lang) for i in range(80) for lang in [("aa", "bb")[i % 2]]]
+    rows += [(0, "the other text of this id", "aa")]
+    a, b = (lang_id.learn(spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(3)) for x in (rows, rows[::-1]))
+    assert all((a.net.p[k] == b.net.p[k]).all() for k in a.net.p)
+    fresh = [(prose(r, lang, 40), lang) for lang in ("aa", "bb") * 10]
+    assert sum(p == lang for p, (_, lang) in zip(a.predict([t for t, _ in fresh])[0], fresh, strict=True)) >= 18
+
+
+def test_language_of_given_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    docs = spark.read.parquet(path)
+    found = lang_id.identify(docs, lang_id.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'").collect()
+    assert sum(x.lang_pred == x.lang for x in found) >= 0.99 * len(found)
+
+
 def test_language_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = lang_id.learn(empty)
@@ -161,6 +185,81 @@ def test_html(spark):
     assert html_text.extract(df.where("page_id = 1"), with_blocks=True).first().labels[0].block == "Home"
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<p>One <a href="x>link</a> two</p>', ["One link two"]),
+        ('<a href="x>l</a> <b class="y">k</b>', ["l k"]),
+        ("a<![CDATA[x > y]]>b", ["ab"]),
+        ("<!doctype html><?xml v?>z<!-- x > --> w", ["z w"]),
+        ("1 < 2 <3 x <d", ["1 < 2 <3 x"]),
+        ("<p <b>x</b>", ["x"]),
+        ("<p title=\"a > b\" x='<i>'>in</p>", ["in"]),
+        ("<script>if(a<b){'</p>'}</script >after", ["after"]),
+        ("<!-- never closed <p>x</p>", []),
+        ("</ x>k</>m</div>", ["km"]),
+    ],
+)
+def test_broken_markup_is_no_text(page, texts):
+    assert [b[1] for b in html_text.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("unit", ["<b ", "<div>", "<div>x", '<b a="', "<a b='", "</p>", "<script>", "<![CDATA[", "<", "<p>x"])
+def test_reading_takes_linear_time(unit):
+    start = time.process_time()
+    html_text.blocks(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 2
+
+
+class Reader(HTMLParser):
+    """An independent reader of pages whose article is an <article>: its blocks, without nested menus and adverts."""
+
+    BREAKS = {"p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "blockquote", "article", "section", "table", "tr", "td", "figure", "figcaption", "pre", "nav", "footer", "header", "aside"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.skipped = 0
+        self.parts, self.held = [], []
+
+    def end(self):
+        text = " ".join("".join(self.held).split())
+        if text:
+            self.parts.append(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAKS:
+            self.end()
+        self.inside += tag == "article"
+        self.skipped += tag in ("script", "style", "nav", "aside", "footer")
+        if tag == "br":
+            self.held.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.end()
+        self.inside -= tag == "article"
+        self.skipped -= tag in ("script", "style", "nav", "aside", "footer")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.held.append(data)
+
+
+def test_given_pages_against_an_independent_reader(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    pages = spark.read.parquet(path)
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        reader.close()
+        reader.end()
+        assert got[r.page_id] == "\n\n".join(reader.parts)
+
+
 def test_html_held_out_accuracy():
     net, r = html_text.trained(), random.Random(4321)
     wrong = total = 0
