@@ -7,7 +7,9 @@ happens if its rank comes before the merge that ends x and not after the one tha
 goes first). `Bpe.crossing` tests that for arrays of pairs at once.
 
 Defined results: a null text counts as empty and has no ids; special tokens in a text become their ids as in the
-tokenizers library; a word of any length is encoded whole; an empty table gives no rows; further columns are ignored.
+tokenizers library; a word of any length is encoded whole, and a very long text piece by piece with the same ids; rows
+that repeat are encoded each; an empty table gives no rows; further columns are ignored. A file with rules that byte-level
+BPE doesn't have (normalizer, prefix space, other splitting, flags of added tokens) raises ValueError.
 """
 
 from __future__ import annotations
@@ -42,11 +44,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def check_spec(spec: dict) -> None:
+    """Raise ValueError for a file whose rules this encoder doesn't have, rather than encode it wrongly."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [f"model {model.get('type')}"] * (model.get("type", "BPE") != "BPE")
+    wrong += [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["normalizer"] * bool(spec.get("normalizer"))
+    wrong += ["pre_tokenizer"] * (split.get("type") != "ByteLevel" or bool(split.get("add_prefix_space")) or split.get("use_regex") is False)
+    wrong += ["decoder"] * ((spec.get("decoder") or {}).get("type") != "ByteLevel")
+    wrong += [f"added token {t['content']!r}" for t in spec.get("added_tokens", ()) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+
+
 class Bpe:
     """Encoder and decoder for one tokenizers JSON file, given as bytes."""
 
     def __init__(self, spec: bytes):
         spec = json.loads(spec)
+        check_spec(spec)
         alphabet = byte_alphabet()
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

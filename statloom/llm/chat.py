@@ -8,7 +8,7 @@ Template of a turn: <|turn|>ROLE<|body|>BODY<|end|>\\n. In roles and texts & < [
 control string of this or another bracket-style template can appear inside a text, and reading back undoes it.
 
 Rows of a conversation are ordered by turn, then role, then text (ties and repeated rows are all kept). Defined
-results: null role, text or kind count as empty and text; null turns come first; null conv_id is a conversation of its
+results: null role, text or kind count as empty and text; texts of any length are kept whole; null turns come first; null conv_id is a conversation of its
 own; an empty table gives no rows; further columns are ignored. A conversation becomes one string by contract, so its
 rows meet in one task; offsets come from a window there, in time proportional to its turns.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 PART = "struct<kind:string,text:string,ref:string,units:double>"
 #: Tokens that one unit of an attachment expands to: an image tile, a second of audio, a page of a document.
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
+OTHER = "<|attachment|>"
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 
 
@@ -39,18 +40,22 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
 
 
+def _is_text(part: Column) -> Column:
+    return part["kind"].isNull() | (part["kind"] == "text")
+
+
 def _visit(part: Column) -> Column:
-    kind = part["kind"]
-    out = escape(part["text"])
+    out = F.lit(OTHER)
     for k in TOKENS_PER_UNIT:
-        out = F.when(kind == k, F.lit(f"<|{k}|>")).otherwise(out)
-    return out
+        out = F.when(part["kind"] == k, F.lit(f"<|{k}|>")).otherwise(out)
+    return F.when(_is_text(part), escape(part["text"])).otherwise(out)
 
 
 def _expanded(part: Column) -> Column:
     tokens = F.lit(0).cast("long")
     for k, n in TOKENS_PER_UNIT.items():
-        tokens = F.when(part["kind"] == k, F.ceil(F.coalesce(part["units"], F.lit(1.0)) * n).cast("long")).otherwise(tokens)
+        units = F.greatest(F.coalesce(part["units"], F.lit(1.0)), F.lit(0.0))
+        tokens = F.when(part["kind"] == k, F.ceil(units * n).cast("long")).otherwise(tokens)
     return tokens
 
 
@@ -74,7 +79,7 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         F.col("parts"),
         lambda p, i: F.struct(F.col("pos").alias("turn"), i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), _expanded(p).alias("tokens")),
     )
-    rows = rows.withColumn("files", F.filter(held, lambda a: a["kind"].isin(*TOKENS_PER_UNIT)))
+    rows = rows.withColumn("files", F.filter(held, lambda a: ~_is_text(a)))
     loss = F.col("role") == loss_role
     turn = F.struct(
         "pos",

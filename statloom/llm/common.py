@@ -77,12 +77,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def folders(df: DataFrame) -> set[str]:
+    """Names of the intermediate tables that df reads."""
+    return {x for file in df.inputFiles() for x in file.split("/") if x in _written}
+
+
 def drop_tables(tables: list[DataFrame]) -> None:
     """Remove intermediate tables that no plan reads any more."""
     for t in tables:
-        for file in t.inputFiles()[:1]:
-            for name in [x for x in file.split("/") if x in _written]:
-                _delete(t.sparkSession, _written.pop(name))
+        for name in folders(t):
+            _delete(t.sparkSession, _written.pop(name))
 
 
 def written() -> set[str]:

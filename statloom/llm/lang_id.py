@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import arrow_map, cuts, small_batches
+from statloom.llm.common import arrow_map, cuts, shared_table, small_batches
 
 WINDOW, STATE, PAD = 64, 8, 256
 #: Windows that run side by side.
@@ -178,6 +178,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     taught = rows.groupBy("lang", F.pmod(F.xxhash64("id"), F.lit(per_lang)).alias("bucket")).agg(F.min("id").alias("id")).drop("bucket")
+    taught = shared_table(taught, "taught")  # of known size, so small that the texts stay where they are
     chosen = rows.join(taught, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

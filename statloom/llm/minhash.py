@@ -12,8 +12,8 @@
    at most STAR_ROWS members a leader, so a group of copies spreads over tasks. Components of these links are cores.
    Edges inside a core are done, and so are refuted ones from buckets of two.
 5. Cores that the remaining edges join are families. Inside a family links between cores are decided on the full sets: the
-   largest core is dealt into blocks apart from the rest, blocks hold about `block_shingles`, and each block of the rest
-   meets every block, so pairs inside the largest core are never looked at and no task holds more than two blocks. A probe
+   largest core is dealt into blocks apart from the rest, blocks hold at most about `block_shingles`, and each block of the
+   rest meets every block, so pairs inside the largest core are never looked at and no task holds more than two blocks. A probe
    counts the intersections of one set with others through an inverted list; sets with too few shared shingles can't link
    and leave; only sets outside the largest component are probed. A task returns a spanning forest of its links, not pairs.
 6. Components of all links, by distributed steps; the verdict returns by class to all rows.
@@ -45,8 +45,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
 #: Least probability that a pair right at the threshold meets in a table.
 FOUND = 0.9985
-#: Members of a leader that one task checks.
-STAR_ROWS = 1000
+#: Members of a leader that one task checks, and shingles of a core that its smallest blocks hold.
+STAR_ROWS, CORE_SHINGLES = 1000, 50_000
 #: Table keys that a worker combines at once.
 COMBINED_KEYS = 1_000_000
 _words: dict[bytes, int] = {}
@@ -334,9 +334,12 @@ def near_dedup(
     known = shared_table(known.join(classes.groupBy("doc_id").agg(F.sum("n_shingles").alias("weight")), "doc_id"), "members")
     weights = known.groupBy("family", "core").agg(F.sum("weight").alias("weight"))
     largest = weights.groupBy("family").agg(F.max_by("core", F.struct("weight", "core")).alias("largest"), F.max("weight").alias("inner"), F.sum("weight").alias("weight"))
-    split = F.col("weight") > block_shingles
-    count = lambda w: F.greatest(F.lit(1), F.ceil(w / block_shingles).cast("int"))
-    largest = largest.select("family", F.when(split, F.col("largest")).alias("largest"), F.when(split, count(F.col("weight") - F.col("inner"))).otherwise(1).alias("rest_blocks"), F.when(split, count(F.col("inner"))).otherwise(0).alias("core_blocks"))
+    outer = F.col("weight") - F.col("inner")
+    # Blocks of the core are about as large as what they meet, so both travel about as often.
+    of_core = F.ceil(F.col("inner") / F.greatest(F.lit(CORE_SHINGLES), F.least(outer, F.lit(block_shingles)))).cast("int")
+    split = (of_core > 1) | (F.col("weight") > block_shingles)
+    of_rest = F.greatest(F.lit(1), F.ceil(outer / block_shingles).cast("int"))
+    largest = largest.select("family", F.when(split, F.col("largest")).alias("largest"), F.when(split, of_rest).otherwise(1).alias("rest_blocks"), F.when(split, of_core).otherwise(0).alias("core_blocks"))
     member = known.join(largest, "family")
     in_core = F.coalesce(F.col("core") == F.col("largest"), F.lit(False))
     own = F.when(in_core, F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), F.col("core_blocks"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks"))).cast("int")

@@ -21,7 +21,7 @@ empty table gives no rows; further columns are ignored by `classify` and carried
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import ngram_model
@@ -42,13 +42,10 @@ def band(chars):
 
 def _spread(bins: DataFrame, by: list[str], name: str) -> DataFrame:
     """by, and a struct `name` of n, mid, down and up: trusted documents of a group and the quantiles of their figure."""
-    # Quantiles of counts by bin: the same on every run, and a group holds its bins, not its documents.
-    bins = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by)
-    bins = bins.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("n", F.sum("n").over(group))
-    found = [((F.min(F.when(F.col("below") >= q * F.col("n"), F.col("bin"))) + 0.5) / BINS).alias(f"q{i}") for i, q in enumerate(QUANTILES)]
-    each = bins.groupBy(*by).agg(F.max("n").alias("n"), *found)
-    return each.select(*by, F.struct("n", F.col("q1").alias("mid"), (F.col("q1") - F.col("q0")).alias("down"), (F.col("q2") - F.col("q1")).alias("up")).alias(name))
+    # Quantiles of counts by bin: the same on every run, combined before the shuffle, and a group holds its bins, not its documents.
+    each = bins.groupBy(*by).agg(F.sum("n").alias("n"), F.percentile("bin", F.array(*map(F.lit, QUANTILES)), F.col("n")).alias("q"))
+    q = [(F.col("q")[i] + 0.5) / BINS for i in range(len(QUANTILES))]
+    return each.select(*by, F.struct("n", q[1].alias("mid"), (q[1] - q[0]).alias("down"), (q[2] - q[1]).alias("up")).alias(name))
 
 
 def limits(scores: DataFrame, stretch: float, least: int) -> DataFrame:

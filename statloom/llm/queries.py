@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statloom.llm import ann, bpe, chat, exact_dedup, html_text, lang_id, minhash, packing, quality, url_filter
 from statloom.llm.common import table
@@ -16,7 +17,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in url_filter.LISTED], "url string")
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, url_filter.LISTED))).alias("url"))
     return url_filter.url_filter(table(spark, sf_dir, "pages"), listed)
 
 

@@ -4,12 +4,14 @@ A canonical URL is host and path without scheme, query, fragment and trailing sl
 and an entry that is a host covers the host and its subdomains. Each distinct undecided URL is looked up under its own
 canonical form and under each suffix of its host. The Bloom filter (256-bit blocks of four longs, `hashes` bits per
 key inside one block) discards almost all look-ups without a shuffle; what passes goes to an exact hash join on the
-listed strings, salted by path so that one listed host with a third of all URLs is spread, which removes false
-positives. The filter's size follows from the list: it is broadcast only up to `broadcast_bytes` and joined by block
-beyond that.
+listed strings, which removes false positives: the distinct look-ups meet the list, and the hits return to the URLs salted
+by path, so that one listed host with a third of all URLs is spread. The filter's size follows from the list: it is
+broadcast only up to `broadcast_bytes` and joined by block beyond that. Pages that a rule decides, or that have no host,
+take no part in any join.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule and is allowed; repeated rows
-each get a verdict; an empty table or list gives an empty result or no hit; further columns are ignored.
+each get a verdict; of rules of one length that fit, the later one in the list wins; urls of any length are read whole; an
+empty table or list gives an empty result or no hit; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +114,9 @@ def url_filter(
     for i in range(BLOCK_BITS // 64):
         passed = passed.where(F.col(f"m{i}").bitwiseAND(F.col(f"q{i}")) == F.col(f"q{i}"))
     passed = passed.select("host", "path", "c", F.pmod(F.xxhash64("path"), F.lit(salts)).alias("salt"))
-    spread = keys.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    hits = passed.join(spread.hint("shuffle_hash"), ["c", "salt"]).select("host", "path").distinct().withColumn("hit", F.lit(True))
-    judged = pages.join(hits, ["host", "path"], "left")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("hit"), F.lit("block")), F.lit("allow")).alias("verdict"))
+    found = passed.select("c").distinct().join(keys, "c", "left_semi")
+    spread = found.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    hits = passed.join(spread, ["c", "salt"]).select("host", "path").distinct().withColumn("hit", F.lit("block"))
+    is_open = F.col("by_rule").isNull() & (F.col("host") != "")
+    judged = pages.where(is_open).join(hits, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("hit", F.lit("allow")).alias("verdict"))
+    return judged.unionByName(pages.where(~is_open).select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict")))

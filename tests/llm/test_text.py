@@ -356,5 +356,8 @@ def test_chat_parts(spark):
     assert "see &lt;this><|image|><|audio|>end<|document|>" in r.formatted
     assert [(a.turn, a.part, a.kind, a.ref, a.tokens) for a in r.attachments] == [(1, 1, "image", "a.png", 768), (1, 2, "audio", "b.wav", 63), (1, 4, "document", "c.pdf", 512), (2, 1, "image", "d.png", 256)]
     assert r.expanded_tokens == 768 + 63 + 512 + 256
+    odd = [("video", "cap", "v.mp4", 2.0), ("image", None, "n.png", -3.0), (None, "plain", None, None)]
+    o = chat.format_chat(spark.createDataFrame([(1, 0, "user", odd)], f"conv_id long, turn int, role string, content array<{chat.PART}>"), content_col="content").first()
+    assert "<|attachment|><|image|>plain" in o.formatted and [(a.kind, a.ref, a.tokens) for a in o.attachments] == [("video", "v.mp4", 0), ("image", "n.png", 0)]
     span = r.turns[1]
     assert r.formatted[span.loss_start : span.loss_start + span.loss_len] == "ok<|image|>"

@@ -1,6 +1,7 @@
 """BPE against the tokenizers library, and packing invariants."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -85,6 +86,17 @@ def test_long_words_and_texts(own, library, monkeypatch):
         assert ids(own.encode_batch([t])[0]) == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": None}, {"model": {"byte_fallback": True}}, {"added": {"lstrip": True}}])
+def test_other_rules_are_refused(change):
+    with open(PATH) as f:
+        spec = json.load(f)
+    bpe.check_spec(spec)
+    spec["model"] |= change.pop("model", {})
+    spec["added_tokens"][0] |= change.pop("added", {})
+    with pytest.raises(ValueError):
+        bpe.check_spec(spec | change)
+
+
 def test_cache_is_bounded(own, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
     texts = mixed(50, 6)
