@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import shared_table
+from statloom.llm.common import drop_tables, shared_table
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Edges of a node from which on its lowest neighbour is broadcast instead of joined.
+HUB = 100_000
+
+
+def _with_lowest(pairs: DataFrame, edges: int, hub: int) -> DataFrame:
+    """(u, v, m): m is the lowest v of each u.
+
+    The rows of a node with more than `hub` edges stay where they are: there are at most edges / hub such nodes, so they are
+    broadcast. Fewer edges have no hub.
+    """
+    lowest = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if edges <= hub:
+        return pairs.join(lowest.drop("n"), "u")
+    hubs = shared_table(lowest.where(F.col("n") > hub).select(F.col("u").alias("hub"), "m"), "hubs")
+    marked = pairs.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    others = marked.where(F.col("hub").isNull()).select("u", "v").join(lowest.drop("n"), "u")
+    return others.unionByName(marked.where(F.col("hub").isNotNull()).select("u", "v", "m"))
+
+
+def connected_components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id that it reaches.
 
     Each step hangs neighbours under the smallest one, so hubs lose edges instead of gathering them; the number of
@@ -20,12 +39,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if tuple(found) == mark:
             break
-        mark = tuple(found)
+        mark, last = tuple(found), now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = shared_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        lowest = _with_lowest(both, 2 * found[0], hub).withColumn("m", F.least("u", "m"))
+        large = lowest.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if 2 * found[0] > hub:
+            large = shared_table(large, "edges")
+        small = _with_lowest(large, 2 * found[0], hub)
+        hung = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = shared_table(hung.unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "edges")
+        drop_tables([last, *([large] if 2 * found[0] > hub else [])])
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import arrow_map, shared_table, slices
+from statloom.llm.common import arrow_map, drop_tables, shared_table, slices
 from statloom.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -377,6 +377,7 @@ def near_dedup(
 
     more = held.mapInArrow(confirming, "a long, b long")
     components = connected_components(links.unionByName(more))
+    drop_tables([edges, texts, least, checked, cores, families, known])
     judged = classes.select("h1", "h2", "doc_id").join(components, F.col("doc_id") == F.col("id"), "left")
     judged = judged.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "doc_id").alias("component_id"))
     rest = signed.select("doc_id", "n_shingles", "h1", "h2")
