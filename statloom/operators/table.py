@@ -128,11 +128,13 @@ class Table:
             self._need(c)
         return self._with(self.df.select(*(F.col(f"`{c}`") for c in self._keyed(c for c in self.column_names if c not in names))))
 
-    def as_categorical(self, name: str, levels: Iterable[str] | None = None) -> Table:
-        """Freeze the sorted distinct values, or the given levels. The number of levels has to fit the driver."""
+    def as_categorical(self, name: str, levels: Iterable[str] | None = None, most: int = 100_000) -> Table:
+        """Freeze the sorted distinct values, or the given levels. More than `most` distinct values are an error."""
         self._need(name)
         if levels is None:
-            levels = [r[0] for r in self.df.select(F.col(f"`{name}`").cast("string")).where(F.col(f"`{name}`").isNotNull()).distinct().collect()]
+            levels = [r[0] for r in self.df.select(F.col(f"`{name}`").cast("string")).where(F.col(f"`{name}`").isNotNull()).distinct().limit(most + 1).collect()]
+            if len(levels) > most:
+                raise InvalidParameter(f"{name!r} has more than {most} distinct values; give its levels")
         return self._with(self.df.withColumn(name, F.col(f"`{name}`").cast("string")), self.levels | {name: sorted(levels)})
 
     def codes(self, name: str) -> Column:

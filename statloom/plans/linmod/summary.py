@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 
 
 class ModelType(enum.Enum):
+    """Labels as they appear in reports (fixed values)."""
+
     LINEAR = "Linear Regression"
     LOGISTIC = "Logistic Regression"
     POISSON = "Poisson Regression"
@@ -84,7 +86,7 @@ class ResidualStatistics:
     durbin_watson: float | None
 
 
-#: Lines of the statistics block: label, field, format.
+#: Lines of the statistics block: label, field, format (fixed values).
 LINES = [
     ("R-squared", "r_squared", ".4f"),
     ("Adjusted R-squared", "adj_r_squared", ".4f"),

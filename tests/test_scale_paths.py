@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.errors import MissingDataError, VariableTypeMismatch
+from statloom.errors import InvalidParameter, MissingDataError, VariableTypeMismatch
 from statloom.functions import matrix
 from statloom.functions.ordering import BUCKET, bucketed, with_position
 from statloom.operators import stats
@@ -76,6 +76,13 @@ def test_missing_and_unlisted_categories(spark):
     assert shown == [(1, 0), (None, None), (None, None), (1, 0), (0, 1), (0, 1)]
 
 
+def test_too_many_levels(spark):
+    t = from_columns(spark, [("g", Column.strings(list("abcab")))])
+    assert t.as_categorical("g", most=3).levels["g"] == ["a", "b", "c"]
+    with pytest.raises(InvalidParameter):
+        t.as_categorical("g", most=2)
+
+
 def test_constant_columns(spark):
     t = from_columns(spark, [("a", Column.floats([0, -1, 1])), ("b", Column.floats([1, math.nan, 1])), ("c", Column.floats([1, 2, 1]))])
     assert matrix.check_constant_columns(t.numeric_matrix(), 1.0, "row_id") == [0, 1, 2]
