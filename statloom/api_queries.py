@@ -113,6 +113,14 @@ def a10_filter_by_list(spark, d):
     return t.filter_mask([i % 3 != 1 for i in range(t.nrows())]).select(["n_nationkey", "n_name"]).df
 
 
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r % 7 < 2")
+def a10_filter_by_frame(spark, d):
+    """An external mask of any size: positions and truth values."""
+    t = orders(spark, d)
+    mask = spark.range(t.nrows()).select("id", (F.col("id") % 7 < 2).alias("keep"))
+    return t.filter_mask(mask).select(["o_orderkey", "o_totalprice"]).df
+
+
 @query("SELECT o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def a11_filter_column(spark, d):
     return views.ColumnView(orders(spark, d), "o_totalprice").filter(F.col("o_orderstatus") == "F").to_float()

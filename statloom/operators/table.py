@@ -170,8 +170,12 @@ class Table:
 
     filter_with = filter
 
-    def filter_mask(self, mask: list[bool]) -> Table:
-        """An external list, one value a row in key order."""
+    def filter_mask(self, mask: list[bool] | DataFrame) -> Table:
+        """An external list, one value a row in key order; or, for tables of any size, a frame (position, keep)."""
+        if isinstance(mask, DataFrame):
+            at, keep = mask.columns
+            kept = mask.where(F.col(keep)).select(F.col(at).alias("__at"))
+            return self._with(self.positions().join(kept, F.col(POSITION) == F.col("__at"), "left_semi").drop(POSITION))
         n = self.nrows()
         if len(mask) != n:
             raise DimensionMismatch(n, len(mask))
