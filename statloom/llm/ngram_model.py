@@ -36,11 +36,11 @@ ORDER, BITS = 5, 21
 #: Code points start at SHIFT; 1 is the border.
 SHIFT, BORDER = 2, 1
 #: Characters of a block of texts; a longer text is a block of its own.
-BLOCK_CHARS = 48_000_000
+BLOCK_CHARS = 16_000_000
 #: Characters that are in work at once.
 CHUNK = 4_000_000
 #: Rows of n-grams that a worker holds before it merges or packs them.
-HELD_ROWS = 2_000_000
+HELD_ROWS = 500_000
 MASK = (1 << BITS) - 1
 LEVEL = 6
 
@@ -54,12 +54,14 @@ class Grams:
 
     def __init__(self, units: list[tuple[int, np.ndarray]]):
         """units: (document, symbols with the ORDER - 1 before them)."""
-        self.flat = np.concatenate([u for _, u in units])
-        sizes = np.array([len(u) - ORDER + 1 for _, u in units], np.int64)
-        ends = np.cumsum(sizes + ORDER - 1)
-        self.at = np.arange(int(sizes.sum())) + np.repeat(ends - np.cumsum(sizes), sizes)
-        self.doc = np.repeat(np.array([d for d, _ in units], np.int64), sizes)
-        alphabet = pa.array(self.flat).dictionary_encode()
+        flat = np.concatenate([u for _, u in units])
+        sizes = np.array([len(u) - ORDER + 1 for _, u in units])
+        real = np.ones(len(flat), bool)
+        for start in np.cumsum(sizes + ORDER - 1) - sizes - ORDER + 1:
+            real[start : start + ORDER - 1] = False
+        at = np.flatnonzero(real)
+        self.doc = np.repeat(np.array([d for d, _ in units], np.int32), sizes)
+        alphabet = pa.array(flat).dictionary_encode()
         place = alphabet.indices.to_numpy().astype(np.int64)
         bits = max(1, (len(alphabet.dictionary) - 1).bit_length())
         code, width = place.copy(), bits
@@ -70,13 +72,15 @@ class Grams:
                 width = max(1, (len(shorter.dictionary) - 1).bit_length())
             code[j:] |= place[:-j] << width
             width += bits
-        found = pa.array(code[self.at]).dictionary_encode()
+        del place, real
+        code = code[at]
+        found = pa.array(code).dictionary_encode()
         self.ids, self.n = found.indices.to_numpy(), len(found.dictionary)
         first = np.zeros(self.n, np.int64)
-        first[self.ids[::-1]] = self.at[::-1]
+        first[self.ids[::-1]] = at[::-1]
         self.hi, self.lo = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         for j in range(ORDER):
-            s = self.flat[first - j].astype(np.int64)
+            s = flat[first - j].astype(np.int64)
             if j < 3:
                 self.lo |= s << (BITS * j)
             else:
@@ -186,6 +190,8 @@ def questions(held: DataFrame, good: DataFrame, id_col: str, text_col: str, colu
         if not parts:
             return pa.table({c: pa.array([], pa.int64()) for c in ("block", "hi", "lo", "c0", "c1")})
         out = merged(parts).sort_by([("hi", "ascending"), ("lo", "ascending")])
+        del parts
+        pa.default_memory_pool().release_unused()
         return out.add_column(0, "block", pa.array(np.full(len(out), key[0].as_py())))
 
     both = held.select("block", "seq", "payload").groupBy("block").cogroup(good.groupBy("block"))
@@ -270,6 +276,12 @@ def _told(asked: DataFrame, known: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "block long, n long, packed binary")
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorts in place: several times faster than hashing, as nearly all keys differ."""
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
 class Answers:
     """Log probabilities of a block's n-grams."""
 
@@ -318,12 +330,14 @@ def scores(held: DataFrame, asked: DataFrame, known: DataFrame, good: DataFrame,
             total, sizes, pairs = np.zeros(n), np.zeros(n, np.int64), []
             for grams in in_work(batch.column(text).to_pylist(), CHUNK):
                 at = known.places(grams)
-                l0, l1 = (known.logs[f][at][grams.ids] for f in (0, 1))
-                w = share[grams.doc]
-                total += np.bincount(grams.doc, l0 * w + l1 * (1 - w), n)
+                for f, weight in ((0, share), (1, 1 - share)):
+                    total += weight * np.bincount(grams.doc, known.logs[f][at][grams.ids], n)
                 sizes += np.bincount(grams.doc, minlength=n)
-                pairs.append(pa.array(grams.doc * len(known.keys) + at[grams.ids]).unique().to_numpy())
-            distinct = np.bincount((pa.array(np.concatenate(pairs)).unique().to_numpy() if len(pairs) > 1 else pairs[0]) // len(known.keys), minlength=n) if pairs else np.zeros(n)
+                pair = at[grams.ids]
+                pair += grams.doc * np.int64(len(known.keys))
+                pairs.append(_distinct(pair))
+            # A text in several chunks counts an n-gram once.
+            distinct = np.bincount((_distinct(np.concatenate(pairs)) if len(pairs) > 1 else pairs[0]) // len(known.keys), minlength=n) if pairs else np.zeros(n)
             with np.errstate(invalid="ignore"):
                 ppl, fresh = -total / sizes, distinct / sizes
             out.append(
@@ -341,6 +355,7 @@ def scores(held: DataFrame, asked: DataFrame, known: DataFrame, good: DataFrame,
                     }
                 )
             )
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     told = _told(asked, known).select("block", "n", "packed", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("int").alias("pos"))
