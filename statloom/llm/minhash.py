@@ -12,14 +12,14 @@
    at most STAR_ROWS members a leader, so a group of copies spreads over tasks. Components of these links are cores.
    Edges inside a core are done, and so are refuted ones from buckets of two.
 5. Cores that the remaining edges join are families. Inside a family links between cores are decided on the full sets: the
-   largest core is dealt into blocks apart from the rest, blocks hold at most about `block_shingles`, and each block of the
-   rest meets every block, so pairs inside the largest core are never looked at and no task holds more than two blocks. A probe
+   largest core is dealt into blocks apart from the rest; blocks are small, REST_BLOCKS of them for the rest, and more
+   rather than larger than `block_shingles`; each block of the rest meets every block, so pairs inside the largest core are never looked at and no task holds more than two blocks. A probe
    counts the intersections of one set with others through an inverted list; sets with too few shared shingles can't link
    and leave; only sets outside the largest component are probed. A task returns a spanning forest of its links, not pairs.
 6. Components of all links, by distributed steps; the verdict returns by class to all rows.
 
 What can be lost: a pair of sets meets in no table with probability 1 - FOUND at the threshold, less above; two shingles
-share a 64-bit hash with probability 2e-20 a pair of shingles, which could count a text's shingles one too few.
+share a 64-bit hash with probability 5e-20 a pair of shingles, which could count a text's shingles one too few.
 
 Defined results: a null, empty or blank text has the empty set, n_shingles 0, and is linked with nothing; fewer words
 than a shingle make one shingle; equal sets are linked whatever their texts; very long texts are read whole; rows with the
@@ -45,8 +45,10 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
 #: Least probability that a pair right at the threshold meets in a table.
 FOUND = 0.9985
-#: Members of a leader that one task checks, and shingles of a core that its smallest blocks hold.
-STAR_ROWS, CORE_SHINGLES = 1000, 50_000
+#: Members of a leader that one task checks.
+STAR_ROWS = 1000
+#: Weight of the smallest blocks of a family, a document's weight beside its shingles, and blocks of a family's rest.
+BLOCK_LEAST, DOC_WEIGHT, REST_BLOCKS = 20_000, 30, 16
 #: Table keys that a worker combines at once.
 COMBINED_KEYS = 1_000_000
 _words: dict[bytes, int] = {}
@@ -331,14 +333,16 @@ def near_dedup(
     known = texts.select("doc_id").distinct().join(cores.select(F.col("id").alias("doc_id"), F.col("component").alias("core")), "doc_id", "left")
     known = known.select("doc_id", F.coalesce("core", "doc_id").alias("core"))
     known = known.join(families.select(F.col("id").alias("core"), F.col("component").alias("family")), "core")
-    known = shared_table(known.join(classes.groupBy("doc_id").agg(F.sum("n_shingles").alias("weight")), "doc_id"), "members")
+    known = shared_table(known.join(classes.groupBy("doc_id").agg((F.sum("n_shingles") + DOC_WEIGHT).alias("weight")), "doc_id"), "members")
     weights = known.groupBy("family", "core").agg(F.sum("weight").alias("weight"))
     largest = weights.groupBy("family").agg(F.max_by("core", F.struct("weight", "core")).alias("largest"), F.max("weight").alias("inner"), F.sum("weight").alias("weight"))
     outer = F.col("weight") - F.col("inner")
-    # Blocks of the core are about as large as what they meet, so both travel about as often.
-    of_core = F.ceil(F.col("inner") / F.greatest(F.lit(CORE_SHINGLES), F.least(outer, F.lit(block_shingles)))).cast("int")
-    split = (of_core > 1) | (F.col("weight") > block_shingles)
-    of_rest = F.greatest(F.lit(1), F.ceil(outer / block_shingles).cast("int"))
+    # The rest is dealt into up to REST_BLOCKS blocks, and more only where these would be too large. Blocks of the core are
+    # about as large as the rest that they meet, so both travel about as often.
+    unit = F.least(F.lit(block_shingles), F.greatest(F.lit(BLOCK_LEAST), F.ceil(outer / REST_BLOCKS)))
+    of_rest = F.greatest(F.lit(1), F.ceil(outer / unit).cast("int"))
+    of_core = F.ceil(F.col("inner") / F.greatest(F.lit(BLOCK_LEAST), F.least(outer, F.lit(block_shingles)))).cast("int")
+    split = (of_core > 1) | (F.col("weight") > F.least(F.lit(BLOCK_LEAST), F.lit(block_shingles)))
     largest = largest.select("family", F.when(split, F.col("largest")).alias("largest"), F.when(split, of_rest).otherwise(1).alias("rest_blocks"), F.when(split, of_core).otherwise(0).alias("core_blocks"))
     member = known.join(largest, "family")
     in_core = F.coalesce(F.col("core") == F.col("largest"), F.lit(False))

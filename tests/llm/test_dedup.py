@@ -212,7 +212,7 @@ def test_meeting_probability():
     assert minhash.collections_for(0.85, 4) == 10 and minhash.collections_for(0.8, 4) == 14
 
 
-@pytest.mark.parametrize("hub", [100_000, 6])
+@pytest.mark.parametrize("hub", [None, 6])
 def test_components(spark, hub):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(1000, 1100)] + [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(5000, 5000), (None, 1)]
