@@ -106,7 +106,7 @@ def a08_protocols(spark, d):
 # --- rows, cells and views ------------------------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 <> 1")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_nationkey % 3 <> 1")
 def a10_filter_by_list(spark, d):
     """An external mask, one truth value a row."""
     t = nation(spark, d)
