@@ -143,6 +143,8 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
             for part in slices(batch, text):
                 columns = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+        # Spark keeps workers for later stages; what this task needed shouldn't stay with them.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

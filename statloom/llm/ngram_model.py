@@ -140,7 +140,7 @@ def blocks(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + block]), pa.array([seq], pa.int32()), pa.array([sink.getvalue().to_pybytes()]), listed], names=["block", "seq", "payload", "ids"])
                 seq += 1
-                held += sum(len(t) for t in piece.column(text).to_pylist() if t) + len(piece)
+                held += (pc.sum(pc.utf8_length(piece.column(text))).as_py() or 0) + len(piece)
                 if held >= BLOCK_CHARS:
                     block, seq, held = block + 1, 0, 0
 
@@ -347,7 +347,7 @@ def scores(held: DataFrame, asked: DataFrame, known: DataFrame, good: DataFrame,
                         "seq": pa.array(np.full(n, seq, np.int32)),
                         "pos": pa.array(np.arange(n, dtype=np.int32)),
                         "doc_id": batch.column(ids),
-                        "l": pc.fill_null(batch.column(lang), ""),
+                        "l": pc.fill_null(batch.column(lang).cast(pa.string()), ""),
                         "good": pa.array(fold >= 0),
                         "chars": pa.array(sizes),
                         "log_ppl": pa.array(np.where(sizes > 0, ppl, np.nan), from_pandas=True),
