@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statloom.llm import chat, html_text, lang_id, quality, url_filter
 
@@ -168,6 +169,22 @@ def test_quality_sees_repetition(spark):
     assert sum(x.kept for i, x in got.items() if i < 1000) >= 117
 
 
+def test_quality_of_given_documents(spark):
+    """Labelled junk goes, labelled good texts stay, and texts that repeat one usual word go in every language."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test data here")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet").select(*c) for t, c in (("documents", ("doc_id", "text", "lang")), ("labels", ("doc_id", "quality"))))
+    words = {}
+    for r in docs.where("length(text) > 500").limit(400).collect():
+        words.setdefault(r.lang, []).append(r.text.split()[2])
+    repeated = [(-1 - 100 * k - i, " ".join([w] * n), lang) for k, lang in enumerate(sorted(words)) for i, (w, n) in enumerate(zip(words[lang], [20, 60, 200, 1000] * 3, strict=False))]
+    found = quality.classify(docs.unionByName(spark.createDataFrame(repeated, "doc_id long, text string, lang string")), labels)
+    kept = {(r.quality): (r.n, r.kept) for r in found.join(labels.distinct(), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert kept[0][1] <= 0.02 * kept[0][0] and kept[1][1] >= 0.99 * kept[1][0]
+    assert len(repeated) >= 40 and found.where("doc_id < 0 AND kept").count() == 0
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
 <div class="ad">Buy &amp; save.</div><article><h1>Head &lt;line&gt;</h1><p>One <b>bold</b>
  text<br>here. It goes on and on, as articles do.<p>Two &eacute;&nbsp;x is another longer paragraph of this article.</p><script>var x = "<p>no</p>";</script><!-- <p>no</p> --></article><footer>&copy; me</footer></body></html>"""
